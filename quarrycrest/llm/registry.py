@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrycrest.llm import near_duplicates, repeated_lines, splitting
+from quarrycrest.llm import byte_pairs, languages, mixing, near_duplicates, repeated_lines, residue, splitting
 from quarrycrest.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,46 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf, "academic_info"))
 
 
+RESIDUE_TABLES = ("academic_info", "campus_life_data")
+
+
+def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.find(spark, {name: table(spark, sf, name) for name in RESIDUE_TABLES})
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_rows(spark, sf).select("tbl", "rec_id")
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return byte_pairs.encode(table(spark, sf, "documents"))
+
+
+def p9_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_mix"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_mix"))[1]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.cases(table(spark, sf, "documents"), table(spark, sf, "lang_names"))
+
+
+def _language_segments(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return languages.segments(documents, languages.train(documents, table(spark, sf, "lang_names")))
+
+
+def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return _language_segments(spark, sf)
+
+
+def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.document_languages(_language_segments(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 

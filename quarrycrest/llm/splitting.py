@@ -22,40 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrycrest.llm.common import map_texts
-from quarrycrest.llm.textbatch import TextBatch
+from quarrycrest.llm.textbatch import TextBatch, unit_starts, white_space
 
 DIM, BLOCK, CLIMB = 256, 3, 4
 #: What the end of a paragraph, and of a line, adds to the depth of a valley.
 PARAGRAPH, LINE = 0.2, 0.1
 EDGE = " \t\r\n"
-_SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
-_STOPS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
-_WIDE = np.array([ord(c) for c in "。！？"], np.uint32)  # no space follows these
-
-
-def _is(code: np.ndarray, which: np.ndarray) -> np.ndarray:
-    table = np.zeros(0x10000, bool)
-    table[which] = True
-    return table[np.minimum(code, 0xFFFF)]
 
 
 def boundaries(b: TextBatch):
     """(positions, depths, white-space positions) over a batch; depth is that of the
     valley at the position, with what its kind of boundary adds."""
-    space = _is(b.code, _SPACES)
-    solid = np.flatnonzero(~space)
-    if len(solid) < 2:
-        none = np.empty(0, np.int64)
-        return none, none.astype(float), np.flatnonzero(space)
-    before, at = solid[:-1], solid[1:]
-    ends = np.concatenate(([0], np.cumsum(b.code == 10)))
-    lines = ends[at] - ends[before]
-    gap = at - before > 1
-    cut = (lines > 0) | (gap & _is(b.code[before], _STOPS)) | _is(b.code[before], _WIDE)
-    at, lines = at[cut], lines[cut]
-    first = np.searchsorted(solid, b.start[:-1])  # of each text: its first solid place starts a unit
-    first = solid[first[first < len(solid)]]
-    units = np.unique(np.concatenate((at, first)))
+    space = white_space(b)
+    units, lines = unit_starts(b, space)
+    if not len(units):
+        return units, units.astype(float), np.flatnonzero(space)
     doc = b.doc_of(units)
     s, e, h, _ = b.words()
     long = e - s > 3
@@ -76,9 +57,7 @@ def boundaries(b: TextBatch):
         up_left = np.maximum(up_left, np.where(j > lo, sim[j], 0))
         up_right = np.maximum(up_right, sim[np.minimum(i + k, hi - 1)])
     depth = up_left + up_right - 2 * sim
-    count = np.zeros(len(units), np.int64)
-    count[np.searchsorted(units, at)] = lines
-    depth += np.where(count > 1, PARAGRAPH, np.where(count == 1, LINE, 0))
+    depth += np.where(lines > 1, PARAGRAPH, np.where(lines == 1, LINE, 0))
     return units, depth, np.flatnonzero(space)
 
 

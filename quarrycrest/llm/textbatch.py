@@ -116,6 +116,46 @@ class TextBatch:
         return starts, ends, docs, np.arange(len(starts)) - first[docs] + 1
 
 
+_SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_STOPS = np.array([ord(c) for c in ".!?\u2026\u3002\uff01\uff1f"], np.uint32)
+_WIDE = np.array([ord(c) for c in "\u3002\uff01\uff1f"], np.uint32)  # no space follows these
+
+
+def is_one_of(code: np.ndarray, which: np.ndarray) -> np.ndarray:
+    table = np.zeros(0x10000, bool)
+    table[which] = True
+    return table[np.minimum(code, 0xFFFF)]
+
+
+def white_space(b: TextBatch) -> np.ndarray:
+    return is_one_of(b.code, _SPACES)
+
+
+def sentence_ends(code: np.ndarray) -> np.ndarray:
+    return is_one_of(code, _STOPS)
+
+
+def unit_starts(b: TextBatch, space: np.ndarray | None = None):
+    """(places, line ends before each): where sentences and lines start, at their
+    first character that is not white space; a text's own first one is included,
+    with 0 line ends."""
+    space = white_space(b) if space is None else space
+    solid = np.flatnonzero(~space)
+    if not len(solid):
+        return solid, solid
+    before, at = solid[:-1], solid[1:]
+    ends = np.concatenate(([0], np.cumsum(b.code == 10)))
+    lines = ends[at] - ends[before]
+    cut = (lines > 0) | ((at - before > 1) & is_one_of(b.code[before], _STOPS)) | is_one_of(b.code[before], _WIDE)
+    first = np.searchsorted(solid, b.start[:-1])
+    first = np.unique(solid[first[first < len(solid)]])
+    units = np.unique(np.concatenate((at[cut], first)))
+    count = np.zeros(len(units), np.int64)
+    count[np.searchsorted(units, at[cut])] = lines[cut]
+    count[np.searchsorted(units, first)] = 0
+    return units, count
+
+
 def shingles(batch: TextBatch, k: int):
     """(hashes, text numbers) of every k neighbouring words, repeats included."""
     _, _, w, d = batch.words()
