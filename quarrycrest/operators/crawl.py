@@ -13,7 +13,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrycrest.functions.urls import is_blocked, normalize_url, resolve_url
+from quarrycrest.functions.urls import is_blocked, let, normalize_url, resolve_url
 
 #: Links followed from a page of each depth by the catalogue crawl (fixed values).
 LINKS_BY_DEPTH = {1: 5, 2: 5, 3: 4, 4: 3, 5: 0}
@@ -64,7 +64,7 @@ def expand(frontier: DataFrame, pages: DataFrame, domain: str, blocked: list[str
     own = F.slice("links", 1, limit) if limit is not None else F.col("links")
     rows = frontier.join(pages.select("url", F.col("links")), "url").select(F.col("url").alias("parent"), "depth", "department", "school", "ord", F.posexplode(own).alias("pos", "link"))
     target = resolve_url(F.col("parent"), F.col("link"), domain)
-    rows = rows.withColumn("url", normalize_url(target) if normalize else target).where(F.col("url").isNotNull() & ~is_blocked(F.col("url"), domain, blocked))
+    rows = rows.withColumn("url", let(target, normalize_url) if normalize else target).where(F.col("url").isNotNull() & ~is_blocked(F.col("url"), domain, blocked))
     first = rows.groupBy("url").agg(F.min(F.struct("ord", "pos", (F.col("depth") + 1).alias("depth"), "department", "school")).alias("f"))
     return first.select("url", "f.depth", "f.department", "f.school", F.struct("f.ord", "f.pos").alias("place"))
 
