@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrycrest.llm import byte_pairs, languages, mixing, near_duplicates, repeated_lines, residue, splitting
+from quarrycrest.llm import boilerplate, byte_pairs, languages, mixing, near_duplicates, repeated_lines, residue, splitting, survivors, truncation
 from quarrycrest.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,17 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.groups(table(spark, sf, "gap_fill_data"), **NEAR)
 
 
+PAGE_TABLES = ("campus_life_data", "gap_fill_data")
+
+
+def p2_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.furniture({name: table(spark, sf, name) for name in PAGE_TABLES})
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_texts(spark, sf).select("tbl", "rec_id", F.explode("line_nos").alias("line_no"))
+
+
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf, "academic_info"), table(spark, sf, "chunk_policy"))
 
@@ -40,6 +52,48 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf, "academic_info"))
 
 
+def _trusted_courses(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Course rows with code and trust, and the descriptions that lost their end."""
+    courses = table(spark, sf, "courses")
+    cut = truncation.find(courses).where("cut and field = 'description'").select("rec_id", F.lit(True).alias("is_cut"))
+    trust = table(spark, sf, "feed_trust").groupBy("feed").agg(F.max("trust").alias("trust"))
+    # one row a feed: a settings table
+    rows = courses.withColumn("course_code", survivors.course_code(F.col("code"))).join(F.broadcast(trust), "feed", "left").join(cut, "rec_id", "left")
+    return rows, cut
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = _trusted_courses(spark, sf)
+    real = {"title": truncation.is_real(F.col("title")), "description": truncation.is_real(F.col("description")) & F.col("is_cut").isNull()}
+    best = survivors.independent(rows, "course_code", real, "trust", "captured_at")
+    return best.where("n_rows >= 2").select("course_code", *(F.coalesce(f"{c}_rec", F.lit(-1)).alias(f"{c}_rec") for c in real))
+
+
+def p5_consistent(spark: SparkSession, sf: str) -> DataFrame:
+    """Title, description and the pair (credits, offered) of one course, where the
+    credits must be those of a record with that title, and the description too."""
+    rows, _ = _trusted_courses(spark, sf)
+    bundles = {"title": ["title"], "description": ["description"], "terms": ["credits", "offered"]}
+    real = {
+        "title": truncation.is_real(F.col("title")),
+        "description": truncation.is_real(F.col("description")) & F.col("is_cut").isNull(),
+        "terms": truncation.is_real(F.col("credits")),
+    }
+    return survivors.consistent(rows, "course_code", bundles, real, [("title", "description"), ("title", "terms")], "trust", "captured_at")
+
+
+def p7_values(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.find(table(spark, sf, "courses"))
+
+
+def p7_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(p7_values(spark, sf))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_values(spark, sf).where("cut").select("rec_id", "field")
+
+
 RESIDUE_TABLES = ("academic_info", "campus_life_data")
 
 
