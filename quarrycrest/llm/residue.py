@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarrycrest.functions.urls import host, normalize_url
 from quarrycrest.llm.common import checkpoint, map_texts
-from quarrycrest.llm.textbatch import TextBatch, mix, sentence_ends, unit_starts
+from quarrycrest.llm.textbatch import TextBatch, mix, sentence_ends, slices, unit_starts
 
 BITS = 16
 CONTENT, FILLER, ERROR = 0, 1, 2
@@ -166,20 +166,27 @@ def train(rows: DataFrame) -> tuple[np.ndarray, dict]:
     sample = sorted(_sample(rows), key=lambda r: (r.site or "", r.text))
     if not sample:
         return fit(np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(0, np.int64)), {}
-    b = TextBatch([r.text for r in sample])
-    units, feats, owner, _, _ = unit_features(b)
-    joined = "\n".join(b.texts)
-    ends = np.append(units[1:], len(joined))
-    docs = b.doc_of(units)
-    # every unit of a short text, of the others a bounded number by chance
-    brief = np.array([len(t) < SHORT for t in b.texts])[docs]
-    keep = brief | (np.random.default_rng(6).random(len(units)) < SAMPLE_UNITS / max(1, (~brief).sum()))
-    feats, owner = _subset(feats, owner, keep)
-    units, ends, docs = units[keep], ends[keep], docs[keep]
-    labels = np.fromiter((weak_label(joined[s:e].strip()) for s, e in zip(units.tolist(), ends.tolist())), np.int64, len(units))
-    unseen = np.array([hash_site(r.site) for r in sample])[docs] % 5 == 0
+    long_units = sum(len(r.text) >= SHORT for r in sample) * 10
+    rng = np.random.default_rng(6)
+    parts, labels, unseen, done = [], [], [], 0
+    for i, j in slices([r.text for r in sample]):
+        b = TextBatch([r.text for r in sample[i:j]])
+        units, feats, owner, _, _ = unit_features(b)
+        joined = "\n".join(b.texts)
+        ends = np.append(units[1:], len(joined))
+        docs = b.doc_of(units)
+        # every unit of a short text, of the others a bounded number by chance
+        brief = np.array([len(t) < SHORT for t in b.texts])[docs]
+        keep = brief | (rng.random(len(units)) < SAMPLE_UNITS / max(1, long_units))
+        feats, owner = _subset(feats, owner, keep)
+        parts.append((feats.astype(np.int32), (owner + done).astype(np.int32)))
+        done += int(keep.sum())
+        labels += (weak_label(joined[s:e].strip()) for s, e in zip(units[keep].tolist(), ends[keep].tolist()))
+        unseen.append(np.array([hash_site(r.site) % 5 == 0 for r in sample[i:j]])[docs[keep]])
+    feats, owner = (np.concatenate(x) for x in zip(*parts))
+    labels, unseen = np.array(labels, np.int64), np.concatenate(unseen)
     fit_on = lambda mask: fit(*_subset(feats, owner, mask), labels[mask])
-    tested = scores(fit_on(~unseen), feats, owner, len(units)).argmax(1)[unseen]
+    tested = scores(fit_on(~unseen), feats, owner, done).argmax(1)[unseen]
     truth = labels[unseen]
     figures = {"units": int(unseen.sum()), "residue": int((truth != 0).sum()), "found": int(((truth != 0) & (tested == truth)).sum()), "wrong": int(((tested != 0) & (tested != truth)).sum())}
     return fit(feats, owner, labels), figures
