@@ -53,8 +53,8 @@ def seed_plan(seeds: DataFrame, processed: DataFrame) -> DataFrame:
     wanted.  A seed that repeats an unprocessed one is left out."""
     n = seeds.withColumn("url", normalize_url(F.col("url")))
     flagged = n.join(processed.select("url").distinct().withColumn("done", F.lit(True)), "url", "left").withColumn("links_only", F.col("done").isNotNull())
-    nth = F.row_number().over(Window.partitionBy("url").orderBy("ord"))
-    return flagged.withColumn("nth", nth).where(F.col("links_only") | (F.col("nth") == 1)).select("ord", "url", "links_only")
+    first = n.groupBy("url").agg(F.min("ord").alias("first"))  # an aggregate: a url repeated often is no task of its own
+    return flagged.join(first, "url").where(F.col("links_only") | (F.col("ord") == F.col("first"))).select("ord", "url", "links_only")
 
 
 def expand(frontier: DataFrame, pages: DataFrame, domain: str, blocked: list[str], limit: int | None, normalize: bool) -> DataFrame:

@@ -15,7 +15,7 @@ def quote(s: str) -> str:
 
 
 SOURCES = " UNION ALL ".join(
-    f"SELECT {quote(t)} AS _source, {i} AS src_ord, rec_id, url, department, school, content_type, text, chunk_index FROM {t}" for i, t in enumerate(("academic_info", "campus_life_data", "gap_fill_data"))
+    f"SELECT {quote(t)} AS _source, {i} AS src_ord, rec_id, url, department, school, content_type, text, chunk_index, chunk_total FROM {t}" for i, t in enumerate(("academic_info", "campus_life_data", "gap_fill_data"))
 )
 ID = "md5(coalesce(url, '') || '__chunk_' || coalesce(chunk_index, 0))"
 
@@ -281,8 +281,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT {normalized('link')} AS url, 1 AS depth FROM l WHERE contains({authority('link')}, {quote(DOMAIN)})
             AND NOT {blocked(normalized('link'), U.BLOCKED_BY_SEEDS)} AND {normalized('link')} NOT IN (SELECT url FROM s)""",
         "has_content_filter": "SELECT event_id FROM events WHERE lower(coalesce(json_extract_string(props, '$.flag'), 'true')) <> 'false'",
-        "page_concat": f"""SELECT u AS url, string_agg(t || chr(10), '' ORDER BY src_ord, rec_id) AS text
-            FROM (SELECT {normalized('url')} AS u, src_ord, rec_id, coalesce(text, '') AS t FROM ({SOURCES}) WHERE url IS NOT NULL) GROUP BY u""",
+        "page_concat": f"""SELECT _source, u AS url, alone, string_agg(t || chr(10), '' ORDER BY place, rec_id) AS text
+            FROM (SELECT _source, {normalized('url')} AS u, CASE WHEN coalesce(chunk_total, 1) <= 1 THEN rec_id END AS alone, coalesce(chunk_index, 0) AS place, rec_id, coalesce(text, '') AS t
+                FROM ({SOURCES}) WHERE url IS NOT NULL) GROUP BY _source, u, alone""",
         "line_noise_filter": f"""WITH l AS (SELECT rec_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM campus_life_data),
             s AS (SELECT rec_id, ord, {STRIPPED_LINE} AS line FROM l)
             SELECT * FROM s WHERE line <> '' AND NOT regexp_matches(line, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}},') AND {" AND ".join(f"NOT starts_with(line, {quote(p)})" for p in NOISE)}""",

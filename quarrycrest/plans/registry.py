@@ -357,9 +357,12 @@ def has_content_filter(spark, sf):
 
 @query
 def page_concat(spark, sf):
-    pages = sources(spark, sf).where("url is not null").select(U.normalize_url(F.col("url")).alias("url"), "src_ord", "rec_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = F.array_sort(F.collect_list(F.struct("src_ord", "rec_id", "text")))
-    return pages.groupBy("url").agg(F.array_join(F.transform(parts, lambda p: F.concat(p["text"], F.lit("\n"))), "").alias("text"))
+    """Pages put together again from the pieces they were split into; a page that was
+    not split stays by itself, so no group is larger than a page's pieces."""
+    alone = F.when(F.coalesce("chunk_total", F.lit(1)) <= 1, F.col("rec_id"))
+    pieces = sources(spark, sf).where("url is not null").select("_source", U.normalize_url(F.col("url")).alias("url"), alone.alias("alone"), F.coalesce("chunk_index", F.lit(0)).alias("at"), "rec_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "rec_id", "text")))
+    return pieces.groupBy("_source", "url", "alone").agg(F.array_join(F.transform(parts, lambda p: F.concat(p["text"], F.lit("\n"))), "").alias("text"))
 
 
 @query
