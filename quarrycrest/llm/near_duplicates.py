@@ -92,13 +92,21 @@ def signatures(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return map_texts(df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")), schema, "text", run)
 
 
-def _sets(df: DataFrame, k: int) -> DataFrame:
+def _verified(pairs: DataFrame, k: int) -> DataFrame:
+    """(a, b, i, u) of pairs (a, b, ta, tb): sequences in both texts and in either.
+
+    Texts travel rather than their sets of hashes: they are smaller and compress."""
+
     def run(rows: pa.RecordBatch, texts: list):
-        h, d = distinct_shingles(texts, k)
-        ends = np.searchsorted(d, np.arange(len(texts) + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["id", "s"])
+        h, d = (np.concatenate(x) for x in zip(distinct_shingles(texts, k), distinct_shingles(rows.column(3).to_pylist(), k)))
+        order = np.lexsort((h, d))
+        h, d = h[order], d[order]
+        twice = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
+        n = len(texts)
+        shared = np.bincount(d[1:][twice], minlength=n)
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(shared), pa.array(np.bincount(d, minlength=n) - shared)], ["a", "b", "i", "u"])
 
-    return map_texts(df.select("id", "text"), "id bigint, s array<bigint>", "text", run)
+    return map_texts(pairs, "a bigint, b bigint, i bigint, u bigint", "ta", run)
 
 
 def _distance(a: str, b: str):
@@ -134,11 +142,9 @@ def links(df: DataFrame, key: str = "rec_id", text: str = "text", k: int = 5, th
     near = checkpoint(near)
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     texts = source.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = checkpoint(_sets(texts, k))
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
+    both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    exact = _verified(both.select("a", "b", "ta", "tb"), k)
     # whole numbers decide, so that no rounding moves a pair over the threshold
-    exact = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u"))
     return members, exact.where(F.col("i") * 1_000_000 >= F.col("u") * round(threshold * 1_000_000)).select("a", "b", (F.col("i") / F.col("u")).alias("similarity"))
 
 
