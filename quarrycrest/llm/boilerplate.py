@@ -63,7 +63,7 @@ SIDEBARS = re.compile(
 )
 TRAIL = re.compile(r"^\W*(?:home|start|main)\s*(?:»|>|/|::|›|→|\|)\s*\S.*$", re.I)
 SPLIT = re.compile(r"\s+[|/·•»›>–—]\s+|\s*::\s*|\s{2,}|\s*\|\s*|\s*·\s*|\s*•\s*")
-MARKER = re.compile(r"^\s*(?:([-*•›»·–—▪◦‣+])\s+|(#{1,6})\s+|(\d{1,2}[.)])\s+)?(.*?)\s*$", re.S)
+MARKER = re.compile(r"(?:([-*•›»·–—▪◦‣+])|(#{1,6})|(\d{1,2}[.)]))\s+(?=\S)")
 LINK = re.compile(r"^\[([^\]]*)\]\([^)]*\)\W*$")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 JOINTS = frozenset("a an and at by for from how in into is of on or our per the this to what who with you your".split())
@@ -78,6 +78,15 @@ REMEMBERED = 200_000
 HINTS = ("ookie", "rack", "browsing", "continuing", "using", "device", "change your mind")
 
 
+#: Likewise one of these words, or marks, in every message or unfilled field.
+MESSAGE_WORDS = frozenset(
+    "again allowed application asdf browser checking complete connect content cookies copy delete denied edit error exception exists forbidden found gateway goes gone"
+    " heading implemented javascript loading lorem maintenance many moved null oops page permission placeholder problem reference reload replace request robot sample"
+    " scripting scripts server session sign stream subheading teaser text timeout todo turn unauthorized unavailable wrong".split()
+)
+FIELD_MARKS = frozenset("{[<#@_%")
+
+
 def notice(text: str) -> bool:
     return any(h in text for h in HINTS) and COOKIES.search(text) is not None
 
@@ -88,9 +97,11 @@ class Shape:
     __slots__ = ("text", "marker", "link", "words", "kind", "sign", "key", "buckets", "sidebar", "vote", "message")
 
     def __init__(self, raw: str, label: str):
-        m = MARKER.match(raw)
-        self.marker = m[1] or (m[2] and "#") or (m[3] and "1") or ""
-        text = m[4]
+        text = raw.strip()
+        m = MARKER.match(text)
+        self.marker = "" if m is None else m[1] or (m[2] and "#") or "1"
+        if m is not None:
+            text = text[m.end() :]
         self.vote = None
         self.sidebar = self.message = self.link = False
         if len(text) > 45 and text[-1] in ".!?" and text.count(" ") >= 5 and not notice(text) and not PHRASES.match(text):
@@ -125,7 +136,7 @@ class Shape:
         feats = [("f", ends[0]), ("l", ends[1]), ("j", joints, marks), ("t", masked[:80]), ("w", " ".join(words[:2])), ("k", self.kind, self.marker)]
         self.buckets = tuple(bucket(*f) for f in feats)
         self.sidebar = self.marker != "#" and SIDEBARS.match(text) is not None
-        self.message = any(p.search(text) for p in (STATUS, NOTICE, DUMMY, FIELD))
+        self.message = not MESSAGE_WORDS.isdisjoint(words) and any(p.search(text) for p in (STATUS, NOTICE, DUMMY)) or not FIELD_MARKS.isdisjoint(text) and FIELD.search(text) is not None
         if PHRASES.match(text) or ADDRESS.match(text) or TRAIL.match(text) or notice(text):
             self.sign = 6.0
         elif self.sidebar:
@@ -159,7 +170,9 @@ def shape_of(raw: str, label: str) -> Shape:
     if found is None:
         if len(_shapes) > REMEMBERED:
             _shapes.clear()
-        found = _shapes[raw, label] = Shape(raw, label)
+        found = Shape(raw, label)
+        if found.buckets:  # sentences hardly ever come again
+            _shapes[raw, label] = found
     return found
 
 
@@ -256,54 +269,54 @@ def _rows(tables: dict[str, DataFrame]) -> DataFrame:
     return parts.select("tbl", "rec_id", host(page).alias("site"), part(page, 5).alias("path"), F.xxhash64(page).alias("page"), "text")
 
 
-def _vote_rows(batch: pa.RecordBatch, texts: list):
-    """Votes of a slice, summed: (bucket, furniture, body)."""
-    sites, paths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+def _seen_rows(batch: pa.RecordBatch, texts: list):
+    """Votes of a slice, summed by path, and its distinct (site, page, line)."""
+    sites, paths, pages = (batch.column(i).to_pylist() for i in (2, 3, 4))
     count = np.zeros((1 << BITS, 2), np.int64)
-    for text, site, path in zip(texts, sites, paths):
+    own = set()
+    for text, site, path, page in zip(texts, sites, paths, pages):
         lines = read(text, site, path)
-        seen = {(b, label) for x, label in zip(lines, first_labels(lines)) if label is not None for b in buckets_of(x)}
-        for b, label in seen:
+        for b, label in {(b, label) for x, label in zip(lines, first_labels(lines)) if label is not None for b in buckets_of(x)}:
             count[b, label] += 1
+        own |= {(site, page, x.shape.key) for x in lines if x.shape.kind != "sentence"}
     at = np.flatnonzero(count.any(1))
-    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at, FURNITURE]), pa.array(count[at, BODY])], ["bucket", "furniture", "body"])
-
-
-def path_votes(rows: DataFrame) -> np.ndarray:
-    """Log odds of furniture by path; at most 2**BITS rows come to the driver."""
-    counted = map_texts(rows, "bucket int, furniture bigint, body bigint", "text", _vote_rows).groupBy("bucket").agg(F.sum("furniture").alias("f"), F.sum("body").alias("b"))
-    got = counted.toArrow()
-    out = np.zeros(1 << BITS, np.float32)
-    at = got.column("bucket").to_numpy()
+    site, page, key = zip(*own) if own else ((), (), ())
+    n, m = len(at), len(own)
+    keys = np.concatenate((at, np.array(key, np.uint64).view(np.int64)))
+    zeros = np.zeros(m, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n + m) < n), pa.array([""] * n + list(site), pa.string()), pa.array([0] * n + list(page), pa.int64()), pa.array(keys), pa.array(np.concatenate((count[at, FURNITURE], zeros))), pa.array(np.concatenate((count[at, BODY], zeros)))],
+        ["is_path", "site", "page", "key", "f", "b"],
+    )
+
+
+def consensus(rows: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """(votes, hosts) in one reading of the texts.
+
+    votes: log odds of furniture by path; at most 2**BITS rows come to the driver.
+    hosts: (site, keys), the lines that a share of the host's pages repeat.  As each is
+    on HOST_SHARE of the pages, a host has at most 1 / HOST_SHARE times a page's lines."""
+    seen = map_texts(rows, "is_path boolean, site string, page bigint, key bigint, f bigint, b bigint", "text", _seen_rows)
+    once = seen.groupBy("is_path", "site", "page", "key").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
+    counts = once.groupBy("is_path", "site", "key").agg(F.count("*").alias("n"), F.sum("f").alias("f"), F.sum("b").alias("b"))
+    counts = checkpoint(counts.where(F.col("is_path") | (F.col("n") >= HOST_PAGES)))
+    got = counts.where("is_path").select("key", "f", "b").toArrow()
+    votes = np.zeros(1 << BITS, np.float32)
     f, b = (got.column(c).to_numpy().astype(float) for c in "fb")
     # as if everything had also been seen a little on both sides
-    out[at] = np.log((f + 0.5) / (b + 0.5)) * np.minimum(1.0, (f + b) / 4)
-    return out
-
-
-def _line_rows(batch: pa.RecordBatch, texts: list):
-    sites, paths, pages = (batch.column(i).to_pylist() for i in (2, 3, 4))
-    rows = {(s, p, x.shape.key) for text, s, u, p in zip(texts, sites, paths, pages) for x in read(text, s, u) if x.shape.kind != "sentence"}
-    site, page, key = zip(*rows) if rows else ((), (), ())
-    keys = np.array(key, np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(site, pa.string()), pa.array(page, pa.int64()), pa.array(keys, pa.int64())], ["site", "page", "key"])
-
-
-def host_lines(rows: DataFrame) -> DataFrame:
-    """(site, keys): the lines that a share of the host's pages repeat.  As each is on
-    HOST_SHARE of the pages, a host has at most 1 / HOST_SHARE times a page's lines."""
+    votes[got.column("key").to_numpy()] = np.log((f + 0.5) / (b + 0.5)) * np.minimum(1.0, (f + b) / 4)
     sizes = rows.groupBy("site").agg(F.count_distinct("page").alias("pages"))
-    counts = map_texts(rows, "site string, page bigint, key bigint", "text", _line_rows).distinct().groupBy("site", "key").agg(F.count("*").alias("n")).where(F.col("n") >= HOST_PAGES)
-    often = counts.join(sizes, "site").where(F.col("n") >= F.col("pages") * HOST_SHARE)
-    return often.groupBy("site").agg(F.collect_set("key").alias("keys"))
+    often = counts.where("not is_path").join(sizes, "site").where(F.col("n") >= F.col("pages") * HOST_SHARE)
+    return votes, often.groupBy("site").agg(F.collect_set("key").alias("keys"))
 
 
 def furniture(tables: dict[str, DataFrame]) -> DataFrame:
     """(tbl, rec_id, line_nos, text): the numbers of each row's furniture lines, and the
     text without them.  tables maps names to DataFrames with rec_id, url and text."""
     rows = _rows(tables)
-    votes = rows.sparkSession.sparkContext.broadcast(np.clip(path_votes(rows), -CLIP, CLIP))
-    hosts = checkpoint(host_lines(rows))
+    votes, hosts = consensus(rows)
+    votes = rows.sparkSession.sparkContext.broadcast(np.clip(votes, -CLIP, CLIP))
+    hosts = checkpoint(hosts)
     few = hosts.count() <= BROADCAST_HOSTS
     joined = rows.join(F.broadcast(hosts) if few else hosts, "site", "left").select("tbl", "rec_id", "site", "path", "keys", "text")
 
