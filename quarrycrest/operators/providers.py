@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrycrest.functions.html import html_links, html_to_text
+
 
 class Embedder(Protocol):
     size: int
@@ -63,3 +65,27 @@ def lexical_score(question: Column, document: Column) -> Column:
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     q = words(question)
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(document))) / F.size(q)).otherwise(F.lit(0.0))
+
+
+def analyze_page(html: Column, most_links: int = 5, most_chars: int = 50_000) -> Column:
+    """struct<has_content,department,school,text,sub_links>: the page's text and first
+    links in place of a model's reading of it; null for a page that was not fetched."""
+    text = F.substring(html_to_text(html), 1, most_chars)
+    page = F.struct(
+        (text != "").alias("has_content"),
+        F.lit("").alias("department"),
+        F.lit("").alias("school"),
+        text.alias("text"),
+        F.slice(html_links(html), 1, most_links).alias("sub_links"),
+    )
+    return F.when(html.isNotNull(), page)
+
+
+def select_links(html: Column, most: int) -> Column:
+    """The first ``most`` links, none for null."""
+    return F.slice(html_links(html), 1, most)
+
+
+def expand_query(question: Column, supplied: Column | None = None) -> Column:
+    """The question, with sub-queries where a table supplies them."""
+    return F.concat(F.array(question), F.coalesce(supplied, F.array().cast("array<string>"))) if supplied is not None else F.array(question)

@@ -216,6 +216,14 @@ RENDERED = """'Course Code: ' || coalesce(code, '') || chr(10) || 'Title: ' || c
   || CASE WHEN coalesce(restrictions, '') <> '' THEN 'Restrictions: ' || restrictions || chr(10) ELSE '' END"""
 
 
+MERGED = f"""WITH {SECTIONS}, {BEST}, b AS (SELECT base, {BESTS} FROM best GROUP BY base),
+            o AS (SELECT *, type IS NULL OR type <> 'Lecture' AS nl, {FIX} AS fixed FROM sections),
+            g AS (SELECT base, first(coalesce(title, '') ORDER BY nl, code, rec_id) AS title, first(coalesce(credits, '') ORDER BY nl, code, rec_id) AS credits,
+                string_agg(code || '|' || coalesce(type, '') || '|' || fixed, ';' ORDER BY nl, code, rec_id) AS sections FROM o GROUP BY base)
+            SELECT g.base AS code, title, credits, coalesce(offered, '') AS offered, coalesce(description, '') AS description, coalesce(notes, '') AS notes, coalesce(restrictions, '') AS restrictions, sections
+            FROM g LEFT JOIN b USING (base)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "knn_topk": f"WITH {KNN.format(where='')} SELECT query_id, id, round(d, 6) + 0.0 AS distance, rank FROM ranked",
@@ -292,12 +300,8 @@ def oracle_sql() -> dict[str, str]:
         "best_field": f"WITH {SECTIONS}, {BEST} SELECT s.base AS code, {BESTS} FROM (SELECT DISTINCT base FROM sections) s LEFT JOIN best USING (base) GROUP BY s.base",
         "section_counts": f"""WITH {SECTIONS}, n AS (SELECT base, coalesce(type, '') AS t, count(*) AS c FROM sections GROUP BY ALL)
             SELECT base AS code, string_agg(t || '=' || c, ',' ORDER BY t) AS counts FROM n GROUP BY base""",
-        "course_merge": f"""WITH {SECTIONS}, {BEST}, b AS (SELECT base, {BESTS} FROM best GROUP BY base),
-            o AS (SELECT *, type IS NULL OR type <> 'Lecture' AS nl, {FIX} AS fixed FROM sections),
-            g AS (SELECT base, first(coalesce(title, '') ORDER BY nl, code, rec_id) AS title, first(coalesce(credits, '') ORDER BY nl, code, rec_id) AS credits,
-                string_agg(code || '|' || coalesce(type, '') || '|' || fixed, ';' ORDER BY nl, code, rec_id) AS sections FROM o GROUP BY base)
-            SELECT g.base AS code, title, credits, coalesce(offered, '') AS offered, coalesce(description, '') AS description, coalesce(notes, '') AS notes, coalesce(restrictions, '') AS restrictions, sections
-            FROM g LEFT JOIN b USING (base)""",
+        "course_merge": MERGED,
+        "course_chunks": f"SELECT 'https://catalog.quillhaven.example/' AS url, 'course_description' AS content_type, {strip('(' + RENDERED + ')')} AS text FROM ({MERGED})",
         "render_text": f"SELECT rec_id, {strip('(' + RENDERED + ')')} AS text FROM courses",
         "history_project": f"WITH {TURNS}, {HISTORY} SELECT session_id, messages FROM history",
         "session_upsert": "SELECT user_id::VARCHAR AS session_id, epoch_us(first(ts ORDER BY event_id)) AS started_us, CASE WHEN count(*) = 1 THEN epoch_us(first(ts ORDER BY event_id)) ELSE epoch_us(max(ts) FILTER (WHERE n > 1)) END AS active_us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) GROUP BY user_id",

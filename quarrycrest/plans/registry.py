@@ -426,6 +426,11 @@ def render_text(spark, sf):
     return table(spark, sf, "courses").select("rec_id", text.alias("text"))
 
 
+@query
+def course_chunks(spark, sf):
+    return catalog.course_chunks(catalog.merge_courses(table(spark, sf, "courses")), "https://catalog.quillhaven.example/").select("url", "content_type", "text")
+
+
 # --- sessions, prompts, rates ----------------------------------------------------
 
 

@@ -100,3 +100,12 @@ def test_providers(spark):
     assert abs(sum(x * x for x in rows[0]) - 1) < 1e-5 and rows[1] == [0.0] * 8
     df = spark.createDataFrame([("PhD in art", "art here"), ("housing", None)], "q string, d string")
     assert [tuple(r) for r in df.select(providers.classify_audience(F.col("q")), F.round(providers.lexical_score(F.col("q"), F.col("d")), 3)).collect()] == [("grad", 0.333), ("both", 0.0)]
+
+
+def test_page_providers(spark):
+    html = "<p>Text</p><a href='/1'>a</a><a href='/2'>b</a>"
+    df = spark.createDataFrame([(html,), ("",), (None,)], "h string")
+    a, b, c = [r.p for r in df.select(providers.analyze_page(F.col("h"), 1).alias("p")).collect()]
+    assert (a.has_content, a.text, a.sub_links) == (True, "Text\n[a](/1)\n[b](/2)", ["/1"]) and not b.has_content and c is None
+    assert [r[0] for r in df.select(providers.select_links(F.col("h"), 5)).collect()] == [["/1", "/2"], [], []]
+    assert df.limit(1).select(providers.expand_query(F.lit("q"), F.array(F.lit("a"))), providers.expand_query(F.lit("q"))).first()[:] == (["q", "a"], ["q"])
