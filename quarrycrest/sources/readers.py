@@ -19,7 +19,7 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, line) of text files, in order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split("value", "\n", -1)).alias("ord", "line"))
     return lines.withColumn("ord", F.col("ord").cast("bigint"))
 
