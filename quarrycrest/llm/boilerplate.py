@@ -8,11 +8,13 @@ digits and the host's own name masked.
 1. Each page's containers are scored by plain signs: phrases of menus, notices, share
    prompts and footers, separators between short items, what follows a sidebar's
    heading; sentences, headings and the lists under them for the body.
-2. Scored lines vote in Spark: for each path (hashed to 2**BITS, so a table of fixed
-   size) how many pages have it as furniture and how many as body; and per host the
-   lines that a share of its pages repeat.
-3. Pages are extracted again with the winning paths: a container is furniture if its
-   lines' votes, its host's and its own signs add up to more than the body's.
+2. Scored lines vote in Spark: for each host and path (hashed to 2**BITS, so a host's
+   table is bounded) how many pages have it as furniture and how many as body; and per
+   host the lines that a share of its pages repeat.  All hosts together, none as more
+   than HOST_CAP pages, are the prior for paths that a host has seldom or never.
+3. Pages are extracted again with their host's winning paths: a container is furniture
+   if its lines' votes, the host's repeated lines and its own signs add up to more than
+   the body's.
 
 A line that repeats the page's name in its url is its title and so body, as are lines
 that are the message of an error page.  Null and empty texts have no lines; blank lines
@@ -21,6 +23,7 @@ belong to neither side.  Rows with a null url vote for the host ''.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -37,8 +40,13 @@ from quarrycrest.llm.residue import DUMMY, FIELD, NOTICE, STATUS
 BITS = 18
 #: A host's line counts as repeated from this many pages and this share of its pages.
 HOST_PAGES, HOST_SHARE = 3, 0.02
-#: Hosts whose repeated lines are broadcast (a list of bounded length each); beyond, a join.
-BROADCAST_HOSTS = 2_000
+#: A host counts as at most so many pages in the prior of a path, and the prior as so
+#: many pages of the host.
+HOST_CAP, PRIOR_PAGES = 200, 30.0
+#: Hosts, and their entries in all, that are broadcast; beyond, pages are sorted by host.
+BROADCAST_HOSTS, BROADCAST_ENTRIES = 2_000, 500_000
+#: Texts of a host that go to one task at most, where pages are sorted by host.
+TASK_TEXTS = 5_000
 CLIP = 3.0
 
 # The signs of step 1.
@@ -94,7 +102,7 @@ def notice(text: str) -> bool:
 class Shape:
     """What a line looks like on its own; equal lines of a host share one."""
 
-    __slots__ = ("text", "marker", "link", "words", "kind", "sign", "key", "buckets", "sidebar", "vote", "message")
+    __slots__ = ("text", "marker", "link", "words", "kind", "sign", "key", "buckets", "sidebar", "message")
 
     def __init__(self, raw: str, label: str):
         text = raw.strip()
@@ -102,7 +110,6 @@ class Shape:
         self.marker = "" if m is None else m[1] or (m[2] and "#") or "1"
         if m is not None:
             text = text[m.end() :]
-        self.vote = None
         self.sidebar = self.message = self.link = False
         if len(text) > 45 and text[-1] in ".!?" and text.count(" ") >= 5 and not notice(text) and not PHRASES.match(text):
             # most of a page: a sentence, which no vote concerns
@@ -239,21 +246,52 @@ def first_labels(lines: list[Line]) -> list[int | None]:
             out[k] = BODY
         elif x.sign >= 2:
             out[k] = FURNITURE
+        elif kind == "short" and k + 1 < len(lines) and lines[k + 1].shape.kind == "sentence" and lines[k + 1].sign <= -4:
+            out[k] = BODY  # heads the sentence below
         elif x.zone == "top" and mode == "edge" and kind in ("short", "item"):
             out[k] = FURNITURE
     return out
 
 
-def judge(lines: list[Line], votes: list[float], repeated: frozenset) -> list[bool]:
-    """Whether each line is furniture, container by container.  votes are clipped."""
+class Host:
+    """What a host's pages say: log odds of furniture by path, the prior's where the host
+    has a path seldom, and the lines that its pages repeat.  prior is clipped."""
+
+    def __init__(self, prior: list[float], paths=(), furniture=(), body=(), repeated=()):
+        self.prior, self.repeated = prior, frozenset(repeated)
+        self.own = {p: host_vote(f, b, prior[p]) for p, f, b in zip(paths, furniture, body)}
+        self.known: dict[Shape, float] = {}
+
+    def vote(self, path: int) -> float:
+        own = self.own.get(path)
+        return self.prior[path] if own is None else own
+
+    def votes(self, x: Line) -> float:
+        s = x.shape
+        if not s.buckets:
+            return 0.0
+        total = self.known.get(s)
+        if total is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            total = self.known[s] = sum(map(self.vote, s.buckets))
+        return total + self.vote(bucket("z", x.zone, s.kind, s.marker))
+
+
+def host_vote(furniture: float, body: float, prior: float) -> float:
+    share = 1 / (1 + math.exp(-prior))
+    odds = math.log((furniture + PRIOR_PAGES * share) / (body + PRIOR_PAGES * (1 - share)))
+    return max(-CLIP, min(CLIP, odds))
+
+
+def judge(lines: list[Line], site: Host) -> list[bool]:
+    """Whether each line is furniture, container by container."""
     sums: dict[int, float] = {}
     counts: dict[int, int] = {}
     for x in lines:
         s = x.shape
-        if s.vote is None:
-            s.vote = sum(votes[b] for b in s.buckets)
-        own = (s.vote + (votes[bucket("z", x.zone, s.kind, s.marker)] if s.buckets else 0.0)) / 2 + x.sign
-        if s.key in repeated and x.sign > -4:
+        own = site.votes(x) / 2 + x.sign
+        if s.key in site.repeated and x.sign > -4:
             own += 2.0 if s.kind != "item" or x.zone != "in" else 0.5
         sums[x.run] = sums.get(x.run, 0.0) + own
         counts[x.run] = counts.get(x.run, 0) + 1
@@ -266,75 +304,116 @@ def _rows(tables: dict[str, DataFrame]) -> DataFrame:
         p = df.where(F.col("text") != "").select(F.lit(name).alias("tbl"), F.col("rec_id").cast("bigint").alias("rec_id"), F.coalesce("url", F.lit("")).alias("url"), "text")
         parts = p if parts is None else parts.unionByName(p)
     page = normalize_url(F.col("url"))
-    return parts.select("tbl", "rec_id", host(page).alias("site"), part(page, 5).alias("path"), F.xxhash64(page).alias("page"), "text")
+    return parts.select("tbl", "rec_id", F.coalesce(host(page), F.lit("")).alias("site"), part(page, 5).alias("path"), F.xxhash64(page).alias("page"), "text")
 
 
 def _seen_rows(batch: pa.RecordBatch, texts: list):
-    """Votes of a slice, summed by path, and its distinct (site, page, line)."""
+    """Votes of a slice, summed by site and path, and its distinct (site, page, line)."""
     sites, paths, pages = (batch.column(i).to_pylist() for i in (2, 3, 4))
-    count = np.zeros((1 << BITS, 2), np.int64)
+    names: dict[str, int] = {}
+    votes: list[int] = []
     own = set()
     for text, site, path, page in zip(texts, sites, paths, pages):
         lines = read(text, site, path)
-        for b, label in {(b, label) for x, label in zip(lines, first_labels(lines)) if label is not None for b in buckets_of(x)}:
-            count[b, label] += 1
+        at = names.setdefault(site, len(names)) << (BITS + 1)
+        votes += {at | b << 1 | label for x, label in zip(lines, first_labels(lines)) if label is not None for b in buckets_of(x)}
         own |= {(site, page, x.shape.key) for x in lines if x.shape.kind != "sentence"}
-    at = np.flatnonzero(count.any(1))
+    cast, count = np.unique(np.array(votes, np.int64), return_counts=True)
+    at, back = np.unique(cast >> 1, return_inverse=True)
+    sums = np.zeros((len(at), 2), np.int64)
+    sums[back, cast & 1] = count
     site, page, key = zip(*own) if own else ((), (), ())
     n, m = len(at), len(own)
-    keys = np.concatenate((at, np.array(key, np.uint64).view(np.int64)))
-    zeros = np.zeros(m, np.int64)
+    keys = np.concatenate((at & (1 << BITS) - 1, np.array(key, np.uint64).view(np.int64)))
+    zeros, by_number = np.zeros(m, np.int64), list(names)
+    voted = [by_number[i] for i in (at >> BITS).tolist()]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(n + m) < n), pa.array([""] * n + list(site), pa.string()), pa.array([0] * n + list(page), pa.int64()), pa.array(keys), pa.array(np.concatenate((count[at, FURNITURE], zeros))), pa.array(np.concatenate((count[at, BODY], zeros)))],
+        [pa.array(np.arange(n + m) < n), pa.array(voted + list(site), pa.string()), pa.array([0] * n + list(page), pa.int64()), pa.array(keys), pa.array(np.concatenate((sums[:, FURNITURE], zeros))), pa.array(np.concatenate((sums[:, BODY], zeros)))],
         ["is_path", "site", "page", "key", "f", "b"],
     )
 
 
-def consensus(rows: DataFrame) -> tuple[np.ndarray, DataFrame]:
-    """(votes, hosts) in one reading of the texts.
+ENTRIES = "paths array<int>, furniture array<int>, body array<int>, repeated array<bigint>"
 
-    votes: log odds of furniture by path; at most 2**BITS rows come to the driver.
-    hosts: (site, keys), the lines that a share of the host's pages repeat.  As each is
-    on HOST_SHARE of the pages, a host has at most 1 / HOST_SHARE times a page's lines."""
+
+def consensus(rows: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """(prior, hosts) in one reading of the texts.
+
+    prior: log odds of furniture by path over all hosts; at most 2**BITS rows come to
+    the driver.
+    hosts: (site, texts, paths, furniture, body, repeated): the votes of the paths on
+    at least HOST_PAGES of its texts, 2**BITS at most, and the lines that a share of its
+    pages repeat.  As each is on HOST_SHARE of the pages, a host has at most
+    1 / HOST_SHARE times a page's lines."""
     seen = map_texts(rows, "is_path boolean, site string, page bigint, key bigint, f bigint, b bigint", "text", _seen_rows)
     once = seen.groupBy("is_path", "site", "page", "key").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
     counts = once.groupBy("is_path", "site", "key").agg(F.count("*").alias("n"), F.sum("f").alias("f"), F.sum("b").alias("b"))
     counts = checkpoint(counts.where(F.col("is_path") | (F.col("n") >= HOST_PAGES)))
-    got = counts.where("is_path").select("key", "f", "b").toArrow()
-    votes = np.zeros(1 << BITS, np.float32)
+    weight = F.least(F.lit(1.0), HOST_CAP / (F.col("f") + F.col("b")))
+    got = counts.where("is_path").groupBy("key").agg(F.sum(F.col("f") * weight).alias("f"), F.sum(F.col("b") * weight).alias("b")).toArrow()
+    prior = np.zeros(1 << BITS, np.float32)
     f, b = (got.column(c).to_numpy().astype(float) for c in "fb")
     # as if everything had also been seen a little on both sides
-    votes[got.column("key").to_numpy()] = np.log((f + 0.5) / (b + 0.5)) * np.minimum(1.0, (f + b) / 4)
-    sizes = rows.groupBy("site").agg(F.count_distinct("page").alias("pages"))
+    prior[got.column("key").to_numpy()] = np.log((f + 0.5) / (b + 0.5)) * np.minimum(1.0, (f + b) / 4)
+    sizes = rows.groupBy("site").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("texts"))
     often = counts.where("not is_path").join(sizes, "site").where(F.col("n") >= F.col("pages") * HOST_SHARE)
-    return votes, often.groupBy("site").agg(F.collect_set("key").alias("keys"))
+    lines = often.groupBy("site").agg(F.collect_list("key").alias("repeated"))
+    voted = counts.where(F.col("is_path") & (F.col("f") + F.col("b") >= HOST_PAGES)).select("site", F.struct(*(F.col(c).cast("int").alias(c) for c in ("key", "f", "b"))).alias("v"))
+    voted = voted.groupBy("site").agg(F.collect_list("v").alias("v")).select("site", F.col("v.key").alias("paths"), F.col("v.f").alias("furniture"), F.col("v.b").alias("body"))
+    return prior, sizes.select("site", "texts").join(voted, "site", "left").join(lines, "site", "left")
 
 
 def furniture(tables: dict[str, DataFrame]) -> DataFrame:
     """(tbl, rec_id, line_nos, text): the numbers of each row's furniture lines, and the
     text without them.  tables maps names to DataFrames with rec_id, url and text."""
     rows = _rows(tables)
-    votes, hosts = consensus(rows)
-    votes = rows.sparkSession.sparkContext.broadcast(np.clip(votes, -CLIP, CLIP))
+    prior, hosts = consensus(rows)
+    context = rows.sparkSession.sparkContext
+    sent_prior = context.broadcast(np.clip(prior, -CLIP, CLIP))
     hosts = checkpoint(hosts)
-    few = hosts.count() <= BROADCAST_HOSTS
-    joined = rows.join(F.broadcast(hosts) if few else hosts, "site", "left").select("tbl", "rec_id", "site", "path", "keys", "text")
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
+    length = lambda c: F.size(F.coalesce(c, F.array()))
+    n, entries = hosts.agg(F.count("*"), F.sum(length("paths") + length("repeated"))).first()
+    few = n <= BROADCAST_HOSTS and (entries or 0) <= BROADCAST_ENTRIES
+    sent = context.broadcast({r[0]: r[1:] for r in zip(*(c.to_pylist() for c in hosts.select("site", *names).toArrow().columns))} if few else None)
+    if few:
+        joined = rows.select("tbl", "rec_id", "site", "path", "text")
+    else:
+        # each task meets a host's entries, then at most about TASK_TEXTS of its pages
+        tasks = F.ceil(F.col("texts") / TASK_TEXTS).cast("int")
+        pages = rows.join(hosts.select("site", tasks.alias("tasks")), "site").withColumn("task", F.pmod(F.xxhash64("tbl", "rec_id"), F.col("tasks")).cast("int"))
+        pages = pages.select("tbl", "rec_id", "site", "path", "text", "task", F.lit(1).alias("rank"), *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ENTRIES.split(", ")))
+        heads = hosts.select(F.lit("").alias("tbl"), F.lit(0).cast("bigint").alias("rec_id"), "site", F.lit("").alias("path"), F.lit("").alias("text"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.lit(0).alias("rank"), *names)
+        joined = heads.unionByName(pages).repartition("site", "task").sortWithinPartitions("site", "task", "rank")
+
+    known: dict[str, Host] = {}
+    shared: list[list[float]] = []
+
+    def entries_of(values) -> Host:
+        paths, f, b, repeated = (x or () for x in values)
+        return Host(shared[0], paths, f, b, (k & (1 << 64) - 1 for k in repeated))
 
     def run(batch: pa.RecordBatch, texts: list):
-        sites, paths, keys = (batch.column(i).to_pylist() for i in (2, 3, 4))
-        numbers, kept = [], []
-        table = votes.value.tolist()
-        for known in _shapes.values():
-            known.vote = None  # of another job's table
-        sets: dict[str, frozenset] = {}
-        for text, site, path, own in zip(texts, sites, paths, keys):
-            if site not in sets:
-                sets[site] = frozenset(k & (1 << 64) - 1 for k in own or ())
+        if not shared:
+            shared.append(sent_prior.value.tolist())
+        sites, paths = (batch.column(i).to_pylist() for i in (2, 3))
+        head = batch.column(6).to_pylist() if sent.value is None else None
+        numbers, kept, take = [], [], []
+        for i, (text, site, path) in enumerate(zip(texts, sites, paths)):
+            if head is not None and head[i] == 0:
+                known.clear()
+                known[site] = entries_of(batch.column(k)[i].as_py() for k in range(7, 11))
+                continue
+            own = known.get(site)
+            if own is None:
+                own = known[site] = entries_of(sent.value[site])
             lines = read(text, site, path)
-            gone = [x.number for x, f in zip(lines, judge(lines, table, sets[site])) if f]
+            gone = [x.number for x, f in zip(lines, judge(lines, own)) if f]
             numbers.append(gone)
             out = set(gone)
+            take.append(i)
             kept.append("\n".join(t for i, t in enumerate(text.split("\n"), 1) if i not in out) if gone else text)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.list_(pa.int64())), pa.array(kept, pa.string())], ["tbl", "rec_id", "line_nos", "text"])
+        take = pa.array(take, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.list_(pa.int64())), pa.array(kept, pa.string())], ["tbl", "rec_id", "line_nos", "text"])
 
     return map_texts(joined, "tbl string, rec_id bigint, line_nos array<bigint>, text string", "text", run)

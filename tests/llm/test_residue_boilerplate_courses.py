@@ -97,6 +97,19 @@ def test_furniture(spark, monkeypatch):
     assert boilerplate.furniture({"t": df.limit(0)}).count() == 0
 
 
+def test_paths_are_voted_for_by_host(spark, monkeypatch):
+    """One path is furniture on a host with most of the pages, and body on another."""
+    rows = [(i, f"https://big.ex/p{i}", f"Rooms\n{SENTENCES[i % 5]}\n\nQuick links\n- Ask about {w} maps") for i, w in enumerate(f"w{i}x" for i in range(300))]
+    rows += [(1000 + i, f"https://small.ex/p{i}", f"Rooms\n{SENTENCES[i % 5]}\n- Ask about v{i}x maps\n{SENTENCES[(i + 1) % 5]}") for i in range(90)]
+    rows += [(2000 + i, f"https://{site}.ex/q{i}", f"{SENTENCES[0]}\n\n- Ask about z{i}x maps") for i, site in enumerate(("big", "small"))]
+    df = spark.createDataFrame(rows, "rec_id bigint, url string, text string")
+    for few, texts in ((boilerplate.BROADCAST_HOSTS, 5_000), (-1, 50)):
+        monkeypatch.setattr(boilerplate, "BROADCAST_HOSTS", few)
+        monkeypatch.setattr(boilerplate, "TASK_TEXTS", texts, raising=False)
+        got = {r.rec_id: r.line_nos for r in boilerplate.furniture({"t": df}).collect()}
+        assert len(got) == len(rows) and got[2000] == [3] and got[2001] == []
+
+
 # --- truncation and survivors -----------------------------------------------------
 
 
