@@ -14,7 +14,8 @@ digits and the host's own name masked.
    than HOST_CAP pages, are the prior for paths that a host has seldom or never.
 3. Pages are extracted again with their host's winning paths: a container is furniture
    if its lines' votes, the host's repeated lines and its own signs add up to more than
-   the body's.
+   the body's.  A sentence or heading is body by its own signs, until enough pages of
+   its host repeat it: then its votes, which are those of its copies, don't count.
 
 A line that repeats the page's name in its url is its title and so body, as are lines
 that are the message of an error page.  Null and empty texts have no lines; blank lines
@@ -40,6 +41,10 @@ from quarrycrest.llm.residue import DUMMY, FIELD, NOTICE, STATUS
 BITS = 18
 #: A host's line counts as repeated from this many pages and this share of its pages.
 HOST_PAGES, HOST_SHARE = 3, 0.02
+#: Sentences and headings need so many pages of their host, and are as likely furniture
+#: as body at this share of its pages; each doubling adds REPEAT_GAIN.
+LONG_PAGES, REPEAT_GAIN = 30, 4.0
+LONG_SHARE = {"sentence": 0.3, "heading": 0.5}
 #: A host counts as at most so many pages in the prior of a path, and the prior as so
 #: many pages of the host.
 HOST_CAP, PRIOR_PAGES = 200, 30.0
@@ -72,6 +77,7 @@ SIDEBARS = re.compile(
 TRAIL = re.compile(r"^\W*(?:home|start|main)\s*(?:»|>|/|::|›|→|\|)\s*\S.*$", re.I)
 SPLIT = re.compile(r"\s+[|/·•»›>–—]\s+|\s*::\s*|\s{2,}|\s*\|\s*|\s*·\s*|\s*•\s*")
 MARKER = re.compile(r"(?:([-*•›»·–—▪◦‣+])|(#{1,6})|(\d{1,2}[.)]))\s+(?=\S)")
+LINK_ROW = re.compile(r"^(?:\W*\[[^\]]*\]\([^)]*\)){3,}\W*$")
 LINK = re.compile(r"^\[([^\]]*)\]\([^)]*\)\W*$")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 JOINTS = frozenset("a an and at by for from how in into is of on or our per the this to what who with you your".split())
@@ -111,10 +117,6 @@ class Shape:
         if m is not None:
             text = text[m.end() :]
         self.sidebar = self.message = self.link = False
-        if len(text) > 45 and text[-1] in ".!?" and text.count(" ") >= 5 and not notice(text) and not PHRASES.match(text):
-            # most of a page: a sentence, which no vote concerns
-            self.text, self.words, self.kind, self.sign, self.key, self.buckets = text, None, "sentence", -4.0, 0, ()
-            return
         link = LINK.match(text)
         self.link = link is not None
         self.text = text = (link[1] if link else text).strip("_* ") or text
@@ -123,10 +125,13 @@ class Shape:
             low = low.replace(label, "\x00")
         self.words = words = [DIGITS.sub("0", w) for w in WORD.findall(low)]
         masked = DIGITS.sub("0", " ".join(low.split()))
-        self.key = xxhash.xxh64_intdigest(MARKS.sub("", masked) or masked)
         parts = [p for p in SPLIT.split(text) if p]
         if self.marker == "#":
             self.kind = "heading"
+        elif LINK_ROW.match(text):
+            self.kind = "items"
+        elif len(text) > 45 and text[-1] in ".!?" and text.count(" ") >= 5:
+            self.kind = "sentence"
         elif len(parts) >= 2 and max(len(p.split()) for p in parts) <= 5 and not END.search(text):
             self.kind = "items"
         elif len(words) >= 6 and END.search(text) or len(words) >= 25:
@@ -137,11 +142,15 @@ class Shape:
             self.kind = "item"
         else:
             self.kind = "short"
+        # a sentence's numbers are content: pages that differ in them don't repeat it
+        line = " ".join(low.split()) if self.kind == "sentence" else masked
+        self.key = xxhash.xxh64_intdigest(MARKS.sub("", line) or line)
         joints = " ".join([w for w in words if w in JOINTS][:6])
         ends = (words[0], words[-1]) if words else ("", "")
         marks = NOT_MARKS.sub("", masked)[:6]
         feats = [("f", ends[0]), ("l", ends[1]), ("j", joints, marks), ("t", masked[:80]), ("w", " ".join(words[:2])), ("k", self.kind, self.marker)]
-        self.buckets = tuple(bucket(*f) for f in feats)
+        # hardly any sentence comes again, so its features aren't remembered
+        self.buckets = tuple((number if self.kind == "sentence" else bucket)(*f) for f in feats)
         self.sidebar = self.marker != "#" and SIDEBARS.match(text) is not None
         self.message = not MESSAGE_WORDS.isdisjoint(words) and any(p.search(text) for p in (STATUS, NOTICE, DUMMY)) or not FIELD_MARKS.isdisjoint(text) and FIELD.search(text) is not None
         if PHRASES.match(text) or ADDRESS.match(text) or TRAIL.match(text) or notice(text):
@@ -169,6 +178,10 @@ _shapes: dict[tuple[str, str], Shape] = {}
 
 @lru_cache(500_000)
 def bucket(*feature: str) -> int:
+    return number(*feature)
+
+
+def number(*feature: str) -> int:
     return xxhash.xxh32_intdigest("\x01".join(feature)) >> (32 - BITS)
 
 
@@ -178,7 +191,7 @@ def shape_of(raw: str, label: str) -> Shape:
         if len(_shapes) > REMEMBERED:
             _shapes.clear()
         found = Shape(raw, label)
-        if found.buckets:  # sentences hardly ever come again
+        if found.kind != "sentence":  # sentences hardly ever come again
             _shapes[raw, label] = found
     return found
 
@@ -258,7 +271,7 @@ class Host:
     has a path seldom, and the lines that its pages repeat.  prior is clipped."""
 
     def __init__(self, prior: list[float], paths=(), furniture=(), body=(), repeated=()):
-        self.prior, self.repeated = prior, frozenset(repeated)
+        self.prior, self.repeated = prior, dict(repeated)
         self.own = {p: host_vote(f, b, prior[p]) for p, f, b in zip(paths, furniture, body)}
         self.known: dict[Shape, float] = {}
 
@@ -274,7 +287,9 @@ class Host:
         if total is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            total = self.known[s] = sum(map(self.vote, s.buckets))
+            total = sum(map(self.vote, s.buckets))
+            if s.kind != "sentence":
+                self.known[s] = total
         return total + self.vote(bucket("z", x.zone, s.kind, s.marker))
 
 
@@ -290,12 +305,16 @@ def judge(lines: list[Line], site: Host) -> list[bool]:
     counts: dict[int, int] = {}
     for x in lines:
         s = x.shape
-        own = site.votes(x) / 2 + x.sign
-        if s.key in site.repeated and x.sign > -4:
+        share = site.repeated.get(s.key)
+        if share and x.sign == -4 and s.kind in LONG_SHARE:
+            own = REPEAT_GAIN * math.log2(share / LONG_SHARE[s.kind])
+        else:
+            own = site.votes(x) / 2 + x.sign
+        if share is not None and x.sign > -4:
             own += 2.0 if s.kind != "item" or x.zone != "in" else 0.5
         sums[x.run] = sums.get(x.run, 0.0) + own
         counts[x.run] = counts.get(x.run, 0) + 1
-    return [x.sign >= 4 or x.sign > -4 and sums[x.run] / counts[x.run] ** 0.5 > 0 for x in lines]
+    return [x.sign >= 4 or x.sign > -8 and sums[x.run] / counts[x.run] ** 0.5 > 0 for x in lines]
 
 
 def _rows(tables: dict[str, DataFrame]) -> DataFrame:
@@ -317,7 +336,7 @@ def _seen_rows(batch: pa.RecordBatch, texts: list):
         lines = read(text, site, path)
         at = names.setdefault(site, len(names)) << (BITS + 1)
         votes += {at | b << 1 | label for x, label in zip(lines, first_labels(lines)) if label is not None for b in buckets_of(x)}
-        own |= {(site, page, x.shape.key) for x in lines if x.shape.kind != "sentence"}
+        own |= {(site, page, x.shape.key) for x in lines}
     cast, count = np.unique(np.array(votes, np.int64), return_counts=True)
     at, back = np.unique(cast >> 1, return_inverse=True)
     sums = np.zeros((len(at), 2), np.int64)
@@ -333,7 +352,7 @@ def _seen_rows(batch: pa.RecordBatch, texts: list):
     )
 
 
-ENTRIES = "paths array<int>, furniture array<int>, body array<int>, repeated array<bigint>"
+ENTRIES = "paths array<int>, furniture array<int>, body array<int>, repeated array<bigint>, shares array<float>"
 
 
 def consensus(rows: DataFrame) -> tuple[np.ndarray, DataFrame]:
@@ -341,7 +360,7 @@ def consensus(rows: DataFrame) -> tuple[np.ndarray, DataFrame]:
 
     prior: log odds of furniture by path over all hosts; at most 2**BITS rows come to
     the driver.
-    hosts: (site, texts, paths, furniture, body, repeated): the votes of the paths on
+    hosts: (site, texts, paths, furniture, body, repeated, shares): the votes of the paths on
     at least HOST_PAGES of its texts, 2**BITS at most, and the lines that a share of its
     pages repeat.  As each is on HOST_SHARE of the pages, a host has at most
     1 / HOST_SHARE times a page's lines."""
@@ -357,7 +376,9 @@ def consensus(rows: DataFrame) -> tuple[np.ndarray, DataFrame]:
     prior[got.column("key").to_numpy()] = np.log((f + 0.5) / (b + 0.5)) * np.minimum(1.0, (f + b) / 4)
     sizes = rows.groupBy("site").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("texts"))
     often = counts.where("not is_path").join(sizes, "site").where(F.col("n") >= F.col("pages") * HOST_SHARE)
-    lines = often.groupBy("site").agg(F.collect_list("key").alias("repeated"))
+    # too few pages say nothing of a sentence: its share is 0
+    share = F.when(F.col("n") >= LONG_PAGES, F.col("n") / F.col("pages")).otherwise(0.0).cast("float")
+    lines = often.groupBy("site").agg(F.collect_list(F.struct("key", share.alias("share"))).alias("r")).select("site", F.col("r.key").alias("repeated"), F.col("r.share").alias("shares"))
     voted = counts.where(F.col("is_path") & (F.col("f") + F.col("b") >= HOST_PAGES)).select("site", F.struct(*(F.col(c).cast("int").alias(c) for c in ("key", "f", "b"))).alias("v"))
     voted = voted.groupBy("site").agg(F.collect_list("v").alias("v")).select("site", F.col("v.key").alias("paths"), F.col("v.f").alias("furniture"), F.col("v.b").alias("body"))
     return prior, sizes.select("site", "texts").join(voted, "site", "left").join(lines, "site", "left")
@@ -390,8 +411,8 @@ def furniture(tables: dict[str, DataFrame]) -> DataFrame:
     shared: list[list[float]] = []
 
     def entries_of(values) -> Host:
-        paths, f, b, repeated = (x or () for x in values)
-        return Host(shared[0], paths, f, b, (k & (1 << 64) - 1 for k in repeated))
+        paths, f, b, repeated, shares = (x or () for x in values)
+        return Host(shared[0], paths, f, b, ((k & (1 << 64) - 1, s) for k, s in zip(repeated, shares)))
 
     def run(batch: pa.RecordBatch, texts: list):
         if not shared:
@@ -402,7 +423,7 @@ def furniture(tables: dict[str, DataFrame]) -> DataFrame:
         for i, (text, site, path) in enumerate(zip(texts, sites, paths)):
             if head is not None and head[i] == 0:
                 known.clear()
-                known[site] = entries_of(batch.column(k)[i].as_py() for k in range(7, 11))
+                known[site] = entries_of(batch.column(k)[i].as_py() for k in range(7, 7 + len(names)))
                 continue
             own = known.get(site)
             if own is None:

@@ -100,7 +100,7 @@ def test_furniture(spark, monkeypatch):
 def test_paths_are_voted_for_by_host(spark, monkeypatch):
     """One path is furniture on a host with most of the pages, and body on another."""
     rows = [(i, f"https://big.ex/p{i}", f"Rooms\n{SENTENCES[i % 5]}\n\nQuick links\n- Ask about {w} maps") for i, w in enumerate(f"w{i}x" for i in range(300))]
-    rows += [(1000 + i, f"https://small.ex/p{i}", f"Rooms\n{SENTENCES[i % 5]}\n- Ask about v{i}x maps\n{SENTENCES[(i + 1) % 5]}") for i in range(90)]
+    rows += [(1000 + i, f"https://small.ex/p{i}", f"Rooms\nDoor {i} is for all who come by bus.\n- Ask about v{i}x maps\nHall {i} is for all who come by boat on a weekday.") for i in range(90)]
     rows += [(2000 + i, f"https://{site}.ex/q{i}", f"{SENTENCES[0]}\n\n- Ask about z{i}x maps") for i, site in enumerate(("big", "small"))]
     df = spark.createDataFrame(rows, "rec_id bigint, url string, text string")
     for few, texts in ((boilerplate.BROADCAST_HOSTS, 5_000), (-1, 50)):
@@ -110,6 +110,16 @@ def test_paths_are_voted_for_by_host(spark, monkeypatch):
         assert len(got) == len(rows) and got[2000] == [3] and got[2001] == []
 
 
+def test_a_host_s_repetition_outvotes_a_sentence(spark):
+    note = "Die Angaben auf dieser Seite sind ohne Gewähr und werden jedes Jahr vom Amt erneuert."
+    links = " ".join(f"[Part number {k} of us](/p{k})" for k in range(9)) + "."
+    rows = [(i, f"https://a.ex/p{i}", f"{links}\n\nRooms {i}\nHall v{i}x opens at nine for all who need a quiet place.\n{SENTENCES[i % 5] if i % 9 == 0 else 'Form w%dx goes to the desk in the second week of May.' % i}\n{note}\n### Amtliche Hinweise") for i in range(90)]
+    rows += [(1000 + i, f"https://b.ex/p{i}", f"Rooms {i}\nHall u{i}x opens at nine for all who need a quiet place.\n{note if i == 7 else SENTENCES[0]}") for i in range(20)]
+    df = spark.createDataFrame(rows, "rec_id bigint, url string, text string")
+    got = {r.rec_id: r.line_nos for r in boilerplate.furniture({"t": df}).collect()}
+    assert all(got[i] == [1, 6, 7] for i in range(90)) and not any(got[1000 + i] for i in range(20))
+
+
 # --- truncation and survivors -----------------------------------------------------
 
 
