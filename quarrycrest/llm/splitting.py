@@ -6,8 +6,9 @@ sentences.  At each the word counts (hashed to DIM buckets) of the BLOCK units
 before and after are compared; a low cosine between two higher ones is a valley,
 where the vocabulary and so the topic changes.  From the start of a piece the
 deepest valley in the last half of the allowed size is taken, then the next piece
-starts at a word about ``overlap`` characters earlier.  Where the window has no
-candidate, the last white space is taken, and where it has none, the limit itself.
+starts at a word about ``overlap`` characters earlier.  Where that half has no
+candidate, the last one in the rest of the window is taken; where the whole window
+has none, the last white space, and where it has none, the limit itself.
 
 Pieces are slices of the text, so that every character is in one and none is
 longer than the limit.  Null, empty and short texts give no piece.  An overlap of
@@ -71,9 +72,14 @@ def spans(start: int, end: int, limit: int, overlap: int, least: int, units, dep
         low = max(done + 1, a + limit // 2)
         # leave the last piece at least as many characters as the policy asks for
         wish = min(top, max(low, end - max(least - overlap, 1)))
-        i, j = np.searchsorted(units, low), np.searchsorted(units, wish, "right")
+        i, j, k = np.searchsorted(units, low), np.searchsorted(units, wish, "right"), np.searchsorted(units, top, "right")
+        first = np.searchsorted(units, done, "right")
         if i < j:
             cut = int(units[i + int(np.argmax(depth[i:j]))])
+        elif j < k:
+            cut = int(units[j + int(np.argmax(depth[j:k]))])
+        elif first < i:
+            cut = int(units[i - 1])
         else:
             k = np.searchsorted(spaces, top) - 1
             cut = int(spaces[k]) + 1 if k >= 0 and spaces[k] + 1 >= low else top

@@ -187,3 +187,10 @@ def test_split_oversized(spark):
 def test_deep_valley_beats_a_late_one():
     units = np.array([100, 150, 190])
     assert splitting.spans(0, 300, 200, 20, 10, units, np.array([0.1, 1.5, 0.2]), np.arange(0, 300, 5))[0] == (0, 150)
+
+
+def test_a_boundary_anywhere_in_the_window_beats_white_space():
+    spaces = np.arange(0, 600, 5)
+    # only in the first half; only behind the place that leaves enough for the last piece
+    assert splitting.spans(0, 300, 200, 20, 10, np.array([40, 60]), np.array([1.5, 0.1]), spaces)[0] == (0, 60)
+    assert splitting.spans(0, 210, 200, 0, 80, np.array([190]), np.array([0.1]), spaces)[0] == (0, 190)
