@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quarrycrest.functions.urls import host, normalize_url, part
 from quarrycrest.llm.common import checkpoint, map_texts
-from quarrycrest.llm.residue import DUMMY, FIELD, NOTICE, STATUS
+from quarrycrest.llm.residue import DUMMY, FIELD, MARKS as FIELD_MARKS, MESSAGE_WORDS, NOTICE, STATUS
 
 BITS = 18
 #: A host's line counts as repeated from this many pages and this share of its pages.
@@ -92,15 +92,6 @@ REMEMBERED = 200_000
 HINTS = ("ookie", "rack", "browsing", "continuing", "using", "device", "change your mind")
 
 
-#: Likewise one of these words, or marks, in every message or unfilled field.
-MESSAGE_WORDS = frozenset(
-    "again allowed application asdf browser checking complete connect content cookies copy delete denied edit error exception exists forbidden found gateway goes gone"
-    " heading implemented javascript loading lorem maintenance many moved null oops page permission placeholder problem reference reload replace request robot sample"
-    " scripting scripts server session sign stream subheading teaser text timeout todo turn unauthorized unavailable wrong".split()
-)
-FIELD_MARKS = frozenset("{[<#@_%")
-
-
 def notice(text: str) -> bool:
     return any(h in text for h in HINTS) and COOKIES.search(text) is not None
 

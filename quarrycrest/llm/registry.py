@@ -101,6 +101,10 @@ def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find(spark, {name: table(spark, sf, name) for name in RESIDUE_TABLES})
 
 
+def p6_figures(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.figures(spark, {name: table(spark, sf, name) for name in RESIDUE_TABLES})
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_rows(spark, sf).select("tbl", "rec_id")
 

@@ -200,3 +200,31 @@ def test_consistent_survivors_equal_brute_force(spark):
         )
         assert sum(by[i][5] for i in got[g] if i is not None) == top
     assert survivors.consistent(df.limit(0), "g", bundles, real, [("A", "B")], "trust", "at").count() == 0
+
+
+def test_weak_labels():
+    filler = ["Contact [ADVISOR] for questions about keys.", "[insert date here]", "Welcome to {{name}}, the place to read the agreement.", "Sample text sample text.", "Lorem ipsum dolor sit amet."]
+    talk = ["We set cookies. [Accept] [Decline]", "Templates mark a field with braces, as in {{name}}.", "See the [map](/map) of the hall.", "If the portal shows access denied, the office resets the card.", "Exercises print the variable ${name} and explain each line."]
+    errors = ["404 Not Found", "Exception in thread main: no value Warning: include(a.inc) failed to open stream in b.inc on line 5", "If the problem lasts, write to the help desk."]
+    assert [residue.weak_label(t) for t in filler + talk + errors] == [residue.FILLER] * 5 + [residue.CONTENT] * 5 + [residue.ERROR] * 3
+
+
+def test_margin():
+    over, truth = np.array([3.0, 2.0, 1.0, 0.0]), np.array([True, True, False, False])
+    assert residue.margin(over, truth) == 1.5 and residue.margin(over, ~truth & False) == 0.0
+
+
+def test_buttons_of_a_notice_are_no_fields(spark):
+    rows = pages() + [(5000 + i, f"https://h{i}.ex/c", SENTENCES[i % 5] + "\nWe set cookies that measure traffic. [Accept] [Decline]") for i in range(7)]
+    df = spark.createDataFrame(rows, "rec_id bigint, url string, text string")
+    got = {r.rec_id for r in residue.find(spark, {"t": df}).collect()}
+    assert len(got) == 49 and not any(i >= 5000 for i in got)
+
+
+def test_furniture_of_many_sites_is_no_content(spark):
+    """An error page of a site too small to repeat its lines, which other sites have too."""
+    rows = pages() + [(6000 + i, f"https://k{i}.ex/{i}", f"{'404 Not Found' if i < 2 else SENTENCES[i % 5]}\nAll dates are given in the local time of k{i}.") for i in range(9)]
+    rows.append((6100, "https://k20.ex/1", "404 Not Found\nOnly this page tells the tale of a lost key."))
+    df = spark.createDataFrame(rows, "rec_id bigint, url string, text string")
+    got = {r.rec_id for r in residue.find(spark, {"t": df}).collect()}
+    assert {i for i in got if i >= 6000} == {6000, 6001}
