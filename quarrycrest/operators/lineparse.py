@@ -23,16 +23,17 @@ SCHEDULE = r"^([MTWRFS]+)\s+(\d{3,4}\s+[AP]M)\s+(\d{3,4}\s+[AP]M)"
 TWO_NUMBERS, ONE_NUMBER = r"^(\d+)\s+(\d+)\z", r"^(\d+)\z"
 KEYWORDS = {"Description:": "description", "Public Notes:": "notes", "Restrictions:": "restrictions", "Instructors:": "instructor", "Offered:": "offered"}
 CLOSED_AT_ONCE = ("instructor", "offered")
-NOISE = ["https", "Course Course Title", "Schedule: Day Begin", "Books: Click", "Delivery", "Mode:", "Co-Located:"]
+NOISE = ["https", "Course Course Title", "Schedule: Day Begin", "Books: Click", "Delivery", "Mode:", "Co-Located:", "{organisation} Course Descriptions"]
 TIMESTAMP = r"^\d{1,2}/\d{1,2}/\d{2,4},"
 
 
-def clean_lines(lines: DataFrame, noise: list[str] | None = None) -> DataFrame:
-    """Stripped lines that are not empty, not stamped with a time and not noise."""
+def clean_lines(lines: DataFrame, noise: list[str] | None = None, organisation: str = "") -> DataFrame:
+    """Stripped lines that are not empty, not stamped with a time and not noise, which is
+    known by its prefixes; ``organisation`` is how the listing's title names its owner."""
     text = F.regexp_replace(F.coalesce("line", F.lit("")), rf"^{SPACE}+|{SPACE}+\z", "")
     out = lines.withColumn("line", text).where((F.col("line") != "") & ~F.col("line").rlike(TIMESTAMP))
     for p in noise if noise is not None else NOISE:
-        out = out.where(~F.col("line").startswith(p))
+        out = out.where(~F.col("line").startswith(p.replace("{organisation}", organisation).lstrip()))
     return out
 
 
@@ -47,7 +48,7 @@ def parse_sections(lines: DataFrame) -> DataFrame:
     value = F.lit(None).cast("string")
     for word, field in reversed(KEYWORDS.items()):
         keyword = F.when(line.startswith(word), field).otherwise(keyword)
-        value = F.when(line.startswith(word), F.regexp_replace(F.substring(line, len(word) + 1, 1_000_000), rf"^{SPACE}+|{SPACE}+\z", "")).otherwise(value)
+        value = F.when(line.startswith(word), F.regexp_replace(F.substr(line, F.lit(len(word) + 1)), rf"^{SPACE}+|{SPACE}+\z", "")).otherwise(value)
     kind = (
         F.when(F.col("header"), "header")
         .when(line.rlike(SCHEDULE), "schedule")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrycrest.functions.text import is_blank
+
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 CANDIDATES, KEPT = 8, 5
 
@@ -89,4 +91,4 @@ def subqueries(question: Column, reply: Column) -> Column:
     """The question, then the texts in the reply's ``queries`` that are not blank."""
     parsed = F.coalesce(F.from_json(reply, "queries array<variant>")["queries"], F.array().cast("array<variant>"))
     strings = F.transform(F.filter(parsed, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))
-    return F.concat(F.array(question), F.filter(strings, lambda s: F.trim(s) != ""))
+    return F.concat(F.array(question), F.filter(strings, lambda s: ~is_blank(s)))
