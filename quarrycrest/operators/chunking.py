@@ -105,7 +105,11 @@ def chunk_or_keep(df: DataFrame, text: str = "text", size: int = SIZE, overlap:
 
 
 def clean_and_chunk(df: DataFrame, organisation: str, rules: tuple[int, ...], text: str = "text") -> DataFrame:
-    return chunk_or_keep(df.withColumn(text, clean(F.coalesce(F.col(text), F.lit("")), organisation, rules)), text)
+    """``chunk_or_keep`` of cleaned texts; null is ''."""
+    others = [c for c in df.columns if c != text]
+    # a generator's output is computed once, where the optimizer would repeat a projection's rules at each use
+    cleaned = F.explode(F.array(clean(F.coalesce(F.col(text), F.lit("")), organisation, rules)))
+    return chunk_or_keep(df.select(*others, cleaned.alias(text)), text)
 
 
 def counters(df: DataFrame, text: str = "text", size: int = SIZE, least: int = LEAST) -> DataFrame:

@@ -8,25 +8,16 @@ costs one depth at most.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrycrest.functions.urls import is_blocked, let, normalize_url, resolve_url
+from quarrycrest.operators.order import checkpoint, numbered
 
 #: Links followed from a page of each depth by the catalogue crawl (fixed values).
 LINKS_BY_DEPTH = {1: 5, 2: 5, 3: 4, 4: 3, 5: 0}
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrycrest-"))
-    return df.checkpoint()
+#: and by the crawl from seeds, which are depth 0.
+SEED_LINKS_BY_DEPTH = {0: 2, 1: 0, 2: 0}
 
 
 def has_content(flag: Column) -> Column:
@@ -58,54 +49,45 @@ def seed_plan(seeds: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def expand(frontier: DataFrame, pages: DataFrame, domain: str, blocked: list[str], limit: int | None, normalize: bool) -> DataFrame:
-    """(url, depth, department, school, ord) of the links of the frontier's pages, each
+    """(url, depth, department, school, place) of the links of the frontier's pages, each
     once, from the parent that came first.  ``limit`` takes a page's first links before
-    any is tested.  Empty department and school are inherited."""
+    any is tested.  A page's own department and school count where it has them, else
+    its parent's.  One join with the pages brings links and labels."""
     own = F.slice("links", 1, limit) if limit is not None else F.col("links")
-    rows = frontier.join(pages.select("url", F.col("links")), "url").select(F.col("url").alias("parent"), "depth", "department", "school", "ord", F.posexplode(own).alias("pos", "link"))
+    pick = lambda c: F.coalesce(F.nullif(F.col(f"own_{c}"), F.lit("")), F.col(c)).alias(c) if f"own_{c}" in rows.columns else F.col(c)
+    labels = [F.col(c).alias(f"own_{c}") for c in ("department", "school") if c in pages.columns]
+    rows = frontier.join(pages.select("url", "links", *labels), "url")
+    rows = rows.select(F.col("url").alias("parent"), "depth", pick("department"), pick("school"), "ord", F.posexplode(own).alias("pos", "link"))
     target = resolve_url(F.col("parent"), F.col("link"), domain)
     rows = rows.withColumn("url", let(target, normalize_url) if normalize else target).where(F.col("url").isNotNull() & ~is_blocked(F.col("url"), domain, blocked))
     first = rows.groupBy("url").agg(F.min(F.struct("ord", "pos", (F.col("depth") + 1).alias("depth"), "department", "school")).alias("f"))
     return first.select("url", "f.depth", "f.department", "f.school", F.struct("f.ord", "f.pos").alias("place"))
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, domain: str, blocked: list[str], max_depth: int = 2, by_depth: dict[int, int] | None = None, normalize: bool = True) -> DataFrame:
+def crawl(
+    seeds: DataFrame, pages: DataFrame, domain: str, blocked: list[str], max_depth: int = 2, by_depth: dict[int, int] | None = None,
+    normalize: bool = True, first_depth: int = 1, visited: DataFrame | None = None,
+) -> DataFrame:
     """(ord, url, depth, department, school) of every page reached from the seeds
     (ord, url, depth, department, school), each at its earliest place in a
-    breadth-first walk.
+    breadth-first walk; the seeds' depth is first_depth.
 
     pages: (url, links array<string>, department, school), one row a url; urls that
-    are not there failed and stay visited.  ``ord`` ranks within a depth by parent and
+    are not there failed and stay visited, as do those of ``visited`` (url) from the
+    start, which seeds may be all the same.  ``ord`` ranks within a depth by parent and
     position, which is the order in which a queue would have them."""
     by_depth = LINKS_BY_DEPTH if by_depth is None else by_depth
     first = seeds.groupBy("url").agg(F.min(F.struct("ord", "depth", "department", "school")).alias("f")).select("url", "f.*")
-    level = _checkpoint(first)
-    seen = level.select("url")
+    level = checkpoint(first)
+    seen = level.select("url") if visited is None else level.select("url").unionByName(visited.select("url"))
     out = level
-    for depth in range(1, max_depth):
-        found = expand(_inherit(level, pages), pages, domain, blocked, by_depth.get(depth), normalize).join(seen, "url", "left_anti")
-        level = _checkpoint(_ranked(found))
+    for depth in range(first_depth, max_depth):
+        if by_depth.get(depth) == 0:
+            break
+        found = expand(level, pages, domain, blocked, by_depth.get(depth), normalize).join(seen, "url", "left_anti")
+        level = numbered(found, ["place"]).drop("place")
         if level.isEmpty():
             break
         out = out.unionByName(level.select(*out.columns))
         seen = seen.unionByName(level.select("url"))
     return out
-
-
-def _inherit(level: DataFrame, pages: DataFrame) -> DataFrame:
-    """A page's own department and school where it has them, else its parent's."""
-    own = pages.select("url", F.col("department").alias("d"), F.col("school").alias("s"))
-    rows = level.join(own, "url", "left")
-    pick = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
-    return rows.withColumns({"department": pick("d", "department"), "school": pick("s", "school")}).drop("d", "s")
-
-
-def _ranked(found: DataFrame) -> DataFrame:
-    """Dense numbers in the order of ``place`` without one global window: range
-    partitions are counted, then numbered from the sum of those before."""
-    rows = found.repartitionByRange("place").sortWithinPartitions("place").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    rows = _checkpoint(rows)
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = rows.join(F.broadcast(starts.select("part", "low", "start")), "part")  # one row a partition
-    return out.withColumn("ord", F.col("start") + F.col("at") - F.col("low")).drop("part", "at", "low", "start", "place", "n")

@@ -28,22 +28,43 @@ def union_sources(sources: dict[str, DataFrame | None]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def last_wins(df: DataFrame, keys: list[str], order: list[str], unique: bool = False) -> DataFrame:
     """One row a key: the values of the last row in ``order``, and ``first_pos``, the
-    order of the first one, as a struct.  An aggregate, so copies of a hot key are
-    reduced before the shuffle and no group is sorted."""
-    rest = [c for c in df.columns if c not in keys]
+    order of the first one, as a struct.  ``unique`` says that the order tells all rows of
+    a key apart; without it any one of the last rows is kept."""
     place = F.struct(*order)
+    if unique:
+        return _winners(df, keys, order, F.max(place), F.min(place).alias("first_pos"))
+    rest = [c for c in df.columns if c not in keys]
     packed = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_last"), F.min(place).alias("first_pos"))
     return packed.select(*keys, *(F.col(f"_last.`{c}`").alias(c) for c in rest), "first_pos")
 
 
-def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def first_wins(df: DataFrame, keys: list[str], order: list[str], unique: bool = False) -> DataFrame:
+    """One row a key: the values of the first row in ``order``; see ``last_wins``."""
+    if unique:
+        return _winners(df, keys, order, F.min(F.struct(*order)))
     rest = [c for c in df.columns if c not in keys]
     packed = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
     return packed.select(*keys, *(F.col(f"_first.`{c}`").alias(c) for c in rest))
 
 
+def _winners(df: DataFrame, keys: list[str], order: list[str], place: Column, *others: Column) -> DataFrame:
+    """The row at ``place`` of each key.  Keys and order alone are aggregated, so copies of
+    a hot key are reduced before the shuffle and no other value is sorted; a hash join
+    then fetches the rows."""
+    won = df.groupBy(*keys).agg(place.alias("_place"), *others)
+    names = [o for o in order if o not in keys]
+    won = won.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), *(F.col(f"_place.`{o}`").alias(f"_order{i}") for i, o in enumerate(names)), *(c for c in won.columns if c not in keys and c != "_place"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    for i, o in enumerate(names):
+        same = same & F.col(o).eqNullSafe(F.col(f"_order{i}"))
+    out = df.join(won.hint("shuffle_hash"), same)
+    return out.select(*df.columns, *(c for c in won.columns if not c.startswith(("_key", "_order"))))
+
+
 def duplicate_count(df: DataFrame, key: str = "id") -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_distinct(F.coalesce(F.col(key), F.lit(""))).alias("distinct_ids")).withColumn("duplicates", F.col("total") - F.col("distinct_ids"))
 
@@ -65,5 +86,14 @@ def upsert(index: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
     return index.join(incoming.select(key), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
+def update_fields(index: DataFrame, updates: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """The index with the fields of the rows that ``updates`` (key, fields ...) names set to
+    its values; other rows and columns stay as they are, unknown keys are left out."""
+    new = updates.select(key, F.lit(True).alias("_named"), *(F.col(f).alias(f"_new_{f}") for f in fields))
+    kept = [F.col(c) for c in index.columns if c not in fields]
+    old = lambda f: F.col(f) if f in index.columns else F.lit(None)
+    return index.join(new, key, "left").select(*kept, *(F.when(F.col("_named"), F.col(f"_new_{f}")).otherwise(old(f)).alias(f) for f in fields))
+
+
 def batch_number(position: Column, size: int = 100) -> Column:
     return F.floor(position / F.lit(size)).cast("bigint")

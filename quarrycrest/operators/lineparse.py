@@ -3,7 +3,7 @@
 A record runs from one header line to the next.  Within it two registers are kept,
 as running aggregates over the lines so far: which text field is open, and which
 numbers of the last enrolment block are still due.  Every window is partitioned by
-file and record; only the running count of headers sees a whole file.
+file and record; headers are counted over ranges of a file, whatever its size.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrycrest.functions.text import SPACE
+from quarrycrest.operators.order import running_count
 
 # Patterns and words of the listing's format.
 TYPES = "Lecture|Seminar|Lab|Recitation|Independent Study|Internship|Research|Studio|Conference|Discussion"
@@ -41,8 +42,7 @@ def parse_sections(lines: DataFrame) -> DataFrame:
     """(file, rec, code, ..., offered): the records of lines (file, ord, line)."""
     line = F.col("line")
     rows = lines.where(line.isNotNull()).withColumn("header", line.rlike(HEADER))
-    by_file = Window.partitionBy("file").orderBy("ord")
-    rows = rows.withColumn("rec", F.count_if("header").over(by_file)).where("rec > 0")
+    rows = running_count(rows, "header", "file", "ord", "rec").where("rec > 0")
 
     keyword = F.lit(None).cast("string")
     value = F.lit(None).cast("string")

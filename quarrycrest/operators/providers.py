@@ -67,6 +67,28 @@ def lexical_score(question: Column, document: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(document))) / F.size(q)).otherwise(F.lit(0.0))
 
 
+# What a page of student information may be about.
+CATEGORIES = [
+    "Housing", "Dining", "Transportation", "Campus Life", "Financial Aid", "Health & Wellness", "Career Services",
+    "Athletics", "IT Services", "International Students", "Registrar", "Bursar",
+]
+
+
+def categorize(text: Column, default: str = "Campus Life") -> Column:
+    """The first category of CATEGORIES that a text names, in place of a model's choice."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lit(default)
+    for c in reversed(CATEGORIES):
+        out = F.when(F.contains(low, F.lit(c.lower())), c).otherwise(out)
+    return out
+
+
+def analyze_general_page(html: Column, most_chars: int = 50_000) -> Column:
+    """struct<has_content,category,text> of a page of no known kind; null where it was not fetched."""
+    text = F.substring(html_to_text(html), 1, most_chars)
+    return F.when(html.isNotNull(), F.struct((text != "").alias("has_content"), categorize(text).alias("category"), text.alias("text")))
+
+
 def analyze_page(html: Column, most_links: int = 5, most_chars: int = 50_000) -> Column:
     """struct<has_content,department,school,text,sub_links>: the page's text and first
     links in place of a model's reading of it; null for a page that was not fetched."""

@@ -1,12 +1,15 @@
 """Exact nearest neighbours, candidate deduplication, reranking and context.
 
-Queries are met with all rows in blocks: both sides are cut into blocks of bounded
-size, each pair of blocks is one matrix product, and only each query's k best of a
-block leave it.  Neither side is broadcast or collected, whatever its size.
+Queries are met with all rows.  Up to BROADCAST_VALUES numbers they are sent to the
+rows as one matrix and each query's k best of a batch leave it.  Beyond, both sides are
+cut into blocks of bounded size, each pair of which is one matrix product; neither
+side is broadcast or collected then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from quarrycrest.functions.text import is_blank
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+#: Numbers of all query vectors (8 bytes each) that are sent to every worker at most.
+BROADCAST_VALUES = 1_000_000
 CANDIDATES, KEPT = 8, 5
 
 
@@ -30,7 +35,47 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = CANDIDATES, query_key: str
     distance 1 to everything.  Filters belong on ``rows``, before the search."""
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("query_id"), F.col(vector).alias("v"))
     r = rows.where(F.col(vector).isNotNull()).select(F.col(row_key).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    n_q = max(1, -(-q.count() // QUERY_BLOCK))
+    asked, values = q.agg(F.count("*"), F.sum(F.size("v"))).first()
+    if (values or 0) <= BROADCAST_VALUES:
+        local = _by_partition(q, r, k)
+    else:
+        local = _by_block(q, r, k, asked)
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, row ids, distances) of each query's k nearest rows, ties at the border too."""
+    distance = np.round(1.0 - queries @ rows.T, 12)
+    n = min(k, len(ids))
+    kth = np.partition(distance, n - 1, axis=1)[:, n - 1 : n]
+    at, col = np.nonzero(distance <= kth)
+    return asked[at], ids[col], distance[at, col]
+
+
+_FOUND = "query_id bigint, id bigint, distance double"
+
+
+def _by_partition(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
+    """The queries, a matrix of checked size, go to the rows, which are not shuffled."""
+    got = q.toPandas()
+    sent = q.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(np.int64), _unit(got["v"])))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, queries = sent.value
+        for b in batches:
+            if len(b) and len(asked):
+                yield pd.DataFrame(dict(zip(("query_id", "id", "distance"), _nearest(asked, queries, b["id"].to_numpy(), _unit(b["v"]), k))))
+
+    found = r.mapInPandas(run, _FOUND)
+    # each batch gives k a query: thinned out again before the final order
+    part = Window.partitionBy("query_id", "_part").orderBy("distance", "id")
+    return found.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k).drop("_part", "_n")
+
+
+def _by_block(q: DataFrame, r: DataFrame, k: int, asked: int) -> DataFrame:
+    """Both sides cut into blocks, each pair of which meets once."""
+    n_q = max(1, -(-asked // QUERY_BLOCK))
     n_r = max(1, -(-r.count() // ROW_BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     # every block of rows meets every block of queries once
@@ -40,16 +85,9 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = CANDIDATES, query_key: str
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        distance = np.round(1.0 - _unit(a["v"]) @ _unit(b["v"]).T, 12)
-        ids = b["id"].to_numpy()
-        n = min(k, len(ids))
-        kth = np.partition(distance, n - 1, axis=1)[:, n - 1 : n]
-        at, col = np.nonzero(distance <= kth)  # ties at the border stay, the rank decides
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[at], "id": ids[col], "distance": distance[at, col]})
-
-    local = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, "query_id bigint, id bigint, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return pd.DataFrame(dict(zip(("query_id", "id", "distance"), _nearest(a["query_id"].to_numpy(), _unit(a["v"]), b["id"].to_numpy(), _unit(b["v"]), k))))
+
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, _FOUND)
 
 
 def audience_filter(column: Column, asked: str) -> Column:

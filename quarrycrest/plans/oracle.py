@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from quarrycrest.functions import text as X
-from quarrycrest.functions import urls as U
 
 DOMAIN, ORGANISATION = "quillhaven.example", "Quillhaven University"
 SPACES = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
-SKIPPED = ["/admissions", "/visit", "/about", "/research", "/jobs", "/login"]
+# Fixed values, written out here a second time so that a wrong rule cannot be wrong on both sides.
+WWW = f"https://www.{DOMAIN}"
+SKIPPED = [
+    f"{WWW}/admissions", f"{WWW}/visit", f"{WWW}/about", f"{WWW}/research", f"{WWW}/working", f"{WWW}/assets",
+    f"https://everbetter.{DOMAIN}", f"{WWW}/academics/programs", f"https://studentlife.{DOMAIN}/n/1",
+]
+BY_SEEDS = "/news/ /events/ /people/ /faculty/ /staff/ /directory/ /gallery/ /photos/ /media/ /giving/ /donate/ /blog/ /login /secure mailto: .jpg .jpeg .png .gif".split()
+BY_CATALOG = (
+    "/news/ /events/ /calendar/ /people/ /faculty/ /staff/ /directory/ /gallery/ /photos/ /media/ /giving/ /donate/ /blog/ /jobs/ /careers/ /employment/ /forms/ /login /secure"
+    " mailto: .pdf .jpg .jpeg .png .gif"
+).split()
+UNDER = "/(undergraduate|undergrad|ugrad)(/|\\.|$)|/college/|/admissions/(apply|undergraduate|first-year|transfer)"
+GRADUATE = (
+    "/(graduate|grad|phd|masters)(/|\\.|$)|/mba(/|\\.|$|-)|/ms-|/ma/|/master-|/doctoral|/postdoc|/gradstudies"
+    f"|simon\\.{DOMAIN}/programs/|(warner|son|urmc)\\.{DOMAIN}|{DOMAIN}/medicine"
+)
 
 
 def quote(s: str) -> str:
@@ -106,7 +120,6 @@ links AS (
   SELECT _source, rec_id, url, unnest(l) AS link, generate_subscripts(l, 1) - 1 AS pos
   FROM (SELECT *, regexp_extract_all(coalesce(text, ''), {quote(LINK)}, 1) AS l FROM ({SOURCES})))
 """
-PATH_OF_LINK = "regexp_extract(link, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
 
 
 def blocked(column: str, patterns: list[str]) -> str:
@@ -163,8 +176,7 @@ def html_text(html: str) -> str:
 def audience(url: str) -> str:
     # RE2 has no lookahead: the one path that isn't an undergraduate one is masked
     low = f"regexp_replace(lower(coalesce({url}, '')), '/college/gradstudies(/|$)', '/college-gradstudies /gradstudies\\1', 'g')"
-    under = " OR ".join(f"regexp_matches({low}, {quote(p.replace('(?!gradstudies(/|$))', ''))})" for p in U.UNDERGRAD)
-    grad = " OR ".join(f"regexp_matches({low}, {quote(p)})" for p in U.GRAD)
+    under, grad = (f"regexp_matches({low}, {quote(p)})" for p in (UNDER, GRADUATE))
     return f"CASE WHEN ({under}) AND NOT ({grad}) THEN 'undergrad' WHEN ({grad}) AND NOT ({under}) THEN 'grad' ELSE 'both' END"
 
 
@@ -185,7 +197,7 @@ def _level(n: int, limit: int | None) -> str:
 d{n + 1} AS (
   SELECT DISTINCT url FROM (
     SELECT {normalized('link')} AS url FROM (SELECT unnest({take}) AS link FROM pages JOIN d{n} USING (url))
-    WHERE contains({authority('link')}, {quote(DOMAIN)}) AND NOT {blocked(normalized('link'), U.BLOCKED_BY_SEEDS)})
+    WHERE contains({authority('link')}, {quote(DOMAIN)}) AND NOT {blocked(normalized('link'), BY_SEEDS)})
   WHERE {seen})
 """
 
@@ -224,6 +236,68 @@ MERGED = f"""WITH {SECTIONS}, {BEST}, b AS (SELECT base, {BESTS} FROM best GROUP
             FROM g LEFT JOIN b USING (base)"""
 
 
+CATEGORIES = {
+    "housing": "Housing", "dining": "Dining", "transportation": "Transportation", "campus life": "Campus Life", "financial aid": "Financial Aid",
+    "health & wellness": "Health & Wellness", "career services": "Career Services", "athletics": "Athletics", "it services": "IT Services",
+    "international students": "International Students", "registrar": "Registrar", "bursar": "Bursar",
+}
+KINDS = "Lecture|Seminar|Lab|Recitation|Independent Study|Internship|Research|Studio|Conference|Discussion"
+HEAD = (
+    rf"^([A-Z]{{2,5}}\s+\d{{3,4}}(?:-\d{{1,3}})?)\s+(.+?)\s+({KINDS})\s+(Fall|Spring|Summer|Winter)\s+\d{{4}}"
+    rf"\s+([\d.]+(?:\s*-\s*[\d.]+)?|{KINDS})\s+(Open|Closed|Waitlist|Cancelled)"
+)
+WORDS = {"Description:": "description", "Public Notes:": "notes", "Restrictions:": "restrictions", "Instructors:": "instructor", "Offered:": "offered"}
+DAYS = r"^([MTWRFS]+)\s+(\d{3,4}\s+[AP]M)\s+(\d{3,4}\s+[AP]M)"
+LISTING_NOISE = ["https", "Course Course Title", "Schedule: Day Begin", "Books: Click", "Delivery", "Mode:", "Co-Located:", "Course Descriptions"]
+
+
+def section_parse() -> str:
+    """The listing's state machine, one line a step and file."""
+    plain = lambda c: f"regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')"
+    code = "regexp_replace(upper(code), '[^A-Z0-9]+', ' ', 'g')"
+    head = f"concat_ws(' ', {code}, {plain('title')}, {plain('type')}, {plain('term')}, '2026', {plain('credits')}, {plain('status')})"
+    head = f"regexp_replace({head}, '^ ?([A-Z]+) ?(\\d{{3,4}})[A-Z]? (\\d{{1,3}}) ', '\\1 \\2-\\3 ')"
+    labelled = ", ".join(f"'{w} ' || {plain(c)}" for w, c in (("Instructors:", "instructor"), ("Description:", "description"), ("Public Notes:", "notes"), ("Restrictions:", "restrictions"), ("Offered:", "offered")))
+    word = "CASE " + " ".join(f"WHEN starts_with(line, {quote(w)}) THEN {quote(f)}" for w, f in WORDS.items()) + " END"
+    value = "CASE " + " ".join(f"WHEN starts_with(line, {quote(w)}) THEN {strip(f'substring(line, {len(w) + 1})')}" for w in WORDS) + " END"
+    new = "l.kind = 'header'"
+    number = lambda which, two: f"CASE WHEN {new} THEN NULL WHEN l.kind = 'two' AND s.due = 'two' AND s.had = 0 THEN {two} WHEN l.kind = 'one' AND s.due = 'one' AND s.had = {which} THEN l.line::INT ELSE s.{'enrolled' if which == 0 else 'capacity'} END"
+    taken = "(l.kind = s.due AND s.had < CASE s.due WHEN 'two' THEN 1 ELSE 2 END)"
+    loose = f"(l.kind = 'text' OR (l.kind IN ('one', 'two') AND NOT coalesce({taken}, false)))"
+    text = lambda f: f"CASE WHEN {new} THEN NULL WHEN l.kind = 'keyword' AND l.word = '{f}' THEN l.value WHEN {loose} AND s.field = '{f}' THEN s.{f} || ' ' || l.line ELSE s.{f} END"
+    texts = ("instructor", "description", "notes", "restrictions", "offered")
+    names = ("code", "title", "type", "term", "credits", "status")
+    return rf"""
+WITH RECURSIVE raw AS (
+  SELECT feed AS file, rec_id, [{head}] || list_transform(coalesce(schedule, []), lambda d: concat_ws(' ', d.days, d.start_time, d.end_time))
+    || ['Enrollment: Enrolled Capacity', concat_ws(' ', enrolled, capacity)] || [{labelled}] AS ls FROM courses WHERE code IS NOT NULL),
+cut AS (SELECT file, rec_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM raw),
+bare AS (SELECT file, rec_id, i, {strip('line')} AS line FROM cut),
+kept AS (
+  SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY rec_id, i) AS n FROM bare
+  WHERE line <> '' AND NOT regexp_matches(line, '^\d{{1,2}}/\d{{1,2}}/\d{{2,4}},') AND {" AND ".join(f"NOT starts_with(line, {quote(p)})" for p in LISTING_NOISE)}),
+l AS (
+  SELECT *, {word} AS word, {value} AS value, CASE WHEN regexp_matches(line, {quote(HEAD)}) THEN 'header' WHEN regexp_matches(line, {quote(DAYS)}) THEN 'schedule'
+    WHEN starts_with(line, 'Enrollment:') THEN 'enrolment' WHEN line = 'Capacity' THEN 'capacity' WHEN regexp_matches(line, '^\d+\s+\d+$') THEN 'two'
+    WHEN regexp_matches(line, '^\d+$') THEN 'one' WHEN word IS NOT NULL THEN 'keyword' ELSE 'text' END AS kind,
+    regexp_extract(line, {quote(HEAD)}, [{", ".join(quote(x) for x in names)}]) AS h, regexp_extract(line, {quote(DAYS)}, ['a', 'b', 'c']) AS d FROM kept),
+s AS (
+  SELECT DISTINCT file, 0::BIGINT AS n, 0 AS rec, {", ".join(f"''::VARCHAR AS {x}" for x in names)}, ''::VARCHAR AS schedule, NULL::INT AS enrolled, NULL::INT AS capacity,
+    NULL::VARCHAR AS due, 0 AS had, NULL::VARCHAR AS field, {", ".join(f"NULL::VARCHAR AS {x}" for x in texts)} FROM l
+  UNION ALL
+  SELECT l.file, l.n, s.rec + CASE WHEN {new} THEN 1 ELSE 0 END, {", ".join(f"CASE WHEN {new} THEN l.h.{x} ELSE s.{x} END" for x in names)},
+    CASE WHEN {new} THEN '' WHEN l.kind = 'schedule' THEN s.schedule || l.d.a || ' ' || l.d.b || ' ' || l.d.c || ';' ELSE s.schedule END,
+    {number(0, "regexp_extract(l.line, '^([0-9]+)', 1)::INT")}, {number(1, "regexp_extract(l.line, '([0-9]+)$', 1)::INT")},
+    CASE WHEN {new} THEN NULL WHEN l.kind = 'enrolment' THEN CASE WHEN contains(l.line, 'Capacity') THEN 'two' ELSE 'one' END ELSE s.due END,
+    CASE WHEN l.kind IN ('header', 'enrolment') THEN 0 WHEN l.kind = s.due THEN s.had + 1 ELSE s.had END,
+    CASE WHEN l.kind = 'keyword' THEN CASE WHEN l.word IN ('instructor', 'offered') THEN NULL ELSE l.word END WHEN l.kind IN ('header', 'schedule', 'enrolment') THEN NULL ELSE s.field END,
+    {", ".join(text(f) for f in texts)}
+  FROM s JOIN l ON l.file = s.file AND l.n = s.n + 1)
+SELECT file, rec, {", ".join(names)}, schedule, enrolled, capacity, {", ".join(f"coalesce({f}, '') AS {f}" for f in texts)} FROM s WHERE rec > 0
+QUALIFY row_number() OVER (PARTITION BY file, rec ORDER BY n DESC) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "knn_topk": f"WITH {KNN.format(where='')} SELECT query_id, id, round(d, 6) + 0.0 AS distance, rank FROM ranked",
@@ -240,7 +314,8 @@ def oracle_sql() -> dict[str, str]:
             FROM ({SOURCES}) WHERE {strip("coalesce(text, '')")} <> ''""",
         "index_insert_new": f"WITH {STATES} SELECT * FROM old UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)",
         "index_upsert": f"WITH {STATES} SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)",
-        "batch_assign": f"""SELECT _source, rec_id // 100 AS batch, count(*) AS n_rows, count(*) FILTER (WHERE {strip("coalesce(text, '')")} = '') AS n_blank FROM ({SOURCES}) GROUP BY ALL""",
+        "batch_assign": f"""SELECT _source, ord // 100 AS batch, count(*) AS n_rows, count(*) FILTER (WHERE {strip("coalesce(text, '')")} = '') AS n_blank
+            FROM (SELECT *, row_number() OVER (ORDER BY src_ord, rec_id) - 1 AS ord FROM ({SOURCES})) GROUP BY ALL""",
         "clean_text_basic": f"SELECT rec_id, {cleaned("coalesce(text, '')", X.BASIC)} AS text FROM academic_info",
         "clean_text_full": f"SELECT rec_id, {cleaned("coalesce(text, '')", X.FULL)} AS text FROM campus_life_data",
         "min_length_filter": "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 100",
@@ -256,7 +331,7 @@ def oracle_sql() -> dict[str, str]:
         "url_normalize": f"SELECT _source, rec_id, {normalized('url')} AS url FROM ({SOURCES})",
         "link_extract": f"WITH {LINKS} SELECT _source, rec_id, pos, link FROM links",
         "link_extract_filtered": f"""WITH {LINKS} SELECT _source, rec_id, link, min(pos) AS pos FROM links
-            WHERE {" AND ".join(f"NOT starts_with({PATH_OF_LINK}, {quote(p)})" for p in SKIPPED)} GROUP BY ALL""",
+            WHERE {" AND ".join(f"NOT starts_with(link, {quote(p)})" for p in SKIPPED)} GROUP BY ALL""",
         "url_resolve": rf"""WITH {LINKS},
             p AS (SELECT *, regexp_replace(link, '^https?://[^/]+', '') AS path, (rec_id + pos) % 7 AS form, regexp_extract(url, '^[^?#]*') AS bare FROM links),
             f AS (SELECT *, CASE form WHEN 0 THEN link WHEN 1 THEN path WHEN 2 THEN regexp_replace(path, '^/', '') WHEN 3 THEN '..' || path
@@ -267,13 +342,13 @@ def oracle_sql() -> dict[str, str]:
                 WHEN 2 THEN regexp_extract(bare, '^(.*/)', 1) || shown
                 WHEN 3 THEN root || coalesce(nullif(regexp_extract(substring(bare, length(root) + 1), '^(.*)/[^/]*/[^/]*$', 1), ''), '') || path
                 WHEN 4 THEN scheme || ':' || shown WHEN 5 THEN NULL ELSE bare || shown END AS target FROM f)""",
-        "url_blocked": f"WITH {LINKS} SELECT _source, rec_id, pos, {blocked('link', U.BLOCKED_BY_CATALOG)} AS by_catalog, {blocked('link', U.BLOCKED_BY_SEEDS)} AS by_seeds FROM links",
+        "url_blocked": f"WITH {LINKS} SELECT _source, rec_id, pos, {blocked('link', BY_CATALOG)} AS by_catalog, {blocked('link', BY_SEEDS)} AS by_seeds FROM links",
         "html_to_text": f"SELECT rec_id, {html_text('h')} AS text FROM (SELECT rec_id, {html_of('text')} AS h FROM gap_fill_data)",
         "html_links": f"SELECT rec_id, array_to_string(regexp_extract_all(h, {quote(ANCHOR)}, 1), ' ') AS links FROM (SELECT rec_id, {html_of('text')} AS h FROM gap_fill_data)",
         "audience_tag": f"SELECT _source, rec_id, {audience('url')} AS audience FROM ({SOURCES})",
         "audience_tally": f"""SELECT l.audience, count(s.a) AS n FROM (VALUES ('undergrad'), ('grad'), ('both')) l(audience)
             LEFT JOIN (SELECT {audience('url')} AS a FROM ({SOURCES})) s ON s.a = l.audience GROUP BY ALL""",
-        "audience_clamp": f"SELECT CASE WHEN content_type IN ('undergrad', 'grad', 'both') THEN content_type ELSE 'both' END AS audience, count(*) AS n FROM ({SOURCES}) GROUP BY ALL",
+        "audience_clamp": f"SELECT CASE rec_id % 7 WHEN 0 THEN 'undergrad' WHEN 1 THEN 'grad' ELSE 'both' END AS audience, count(*) AS n FROM ({SOURCES}) GROUP BY ALL",
         "fetch_lookup": f"WITH {PAGES}, {LINKS}, l AS (SELECT DISTINCT {normalized('link')} AS url FROM links) SELECT l.url, pages.text IS NOT NULL AS found FROM l LEFT JOIN pages USING (url)",
         "crawl_expand": f"WITH {WALK} SELECT url, depth FROM walk",
         "crawl_depth_stats": f"WITH {WALK} SELECT depth, count(*) AS n FROM walk GROUP BY ALL",
@@ -287,8 +362,8 @@ def oracle_sql() -> dict[str, str]:
         "seed_expand": f"""WITH {PAGES}, s AS (SELECT DISTINCT {normalized('url')} AS url FROM gap_fill_data),
             l AS (SELECT unnest(links) AS link FROM pages JOIN s USING (url))
             SELECT DISTINCT {normalized('link')} AS url, 1 AS depth FROM l WHERE contains({authority('link')}, {quote(DOMAIN)})
-            AND NOT {blocked(normalized('link'), U.BLOCKED_BY_SEEDS)} AND {normalized('link')} NOT IN (SELECT url FROM s)""",
-        "has_content_filter": "SELECT event_id FROM events WHERE lower(coalesce(json_extract_string(props, '$.flag'), 'true')) <> 'false'",
+            AND NOT {blocked(normalized('link'), BY_SEEDS)} AND {normalized('link')} NOT IN (SELECT url FROM s)""",
+        "has_content_filter": "SELECT event_id FROM events WHERE event_id % 7 NOT IN (2, 3, 4)",
         "page_concat": f"""SELECT _source, u AS url, alone, string_agg(t || chr(10), '' ORDER BY place, rec_id) AS text
             FROM (SELECT _source, {normalized('url')} AS u, CASE WHEN coalesce(chunk_total, 1) <= 1 THEN rec_id END AS alone, coalesce(chunk_index, 0) AS place, rec_id, coalesce(text, '') AS t
                 FROM ({SOURCES}) WHERE url IS NOT NULL) GROUP BY _source, u, alone""",
@@ -305,13 +380,39 @@ def oracle_sql() -> dict[str, str]:
         "render_text": f"SELECT rec_id, {strip('(' + RENDERED + ')')} AS text FROM courses",
         "history_project": f"WITH {TURNS}, {HISTORY} SELECT session_id, messages FROM history",
         "session_upsert": "SELECT user_id::VARCHAR AS session_id, epoch_us(first(ts ORDER BY event_id)) AS started_us, CASE WHEN count(*) = 1 THEN epoch_us(first(ts ORDER BY event_id)) ELSE epoch_us(max(ts) FILTER (WHERE n > 1)) END AS active_us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) GROUP BY user_id",
-        "subquery_list": "SELECT * FROM (VALUES (1, 'q one|a|b'), (2, 'q two'), (3, 'q three'), (4, 'q four'), (5, 'q five')) v(id, queries)",
+        "subquery_list": f"""SELECT doc_id, coalesce(site, '') || CASE doc_id % 6
+            WHEN 0 THEN CASE WHEN {strip("coalesce(source, '')")} <> '' THEN '|' || source ELSE '' END || CASE WHEN {strip("coalesce(lang, '')")} <> '' THEN '|' || lang ELSE '' END
+            WHEN 1 THEN '|a|b' ELSE '' END AS queries FROM documents""",
         "prompt_build": f"""WITH {CANDIDATES}, {CONTEXT}, {TURNS}, {HISTORY}
             SELECT question, 'system:Answer from the context and cite the source URL.,' || coalesce(messages || ',', '') || 'user:Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: What about ' || question || '?' AS prompt
             FROM context LEFT JOIN history ON session_id = question::VARCHAR""",
         "rate_limit_window": """SELECT event_id, n, n <= 1 AS admitted, epoch_us(w) AS window_us
             FROM (SELECT event_id, date_trunc('hour', ts) AS w, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events)""",
         "json_scan": "SELECT event_id, len(json_keys(props)) AS n_keys FROM events",
+        "seed_crawl": f"""WITH {PAGES}, known AS (SELECT DISTINCT {normalized('url')} AS url FROM campus_life_data WHERE url IS NOT NULL),
+            s AS (SELECT min(url) AS url FROM pages GROUP BY {host('url')}),
+            l AS (SELECT unnest(list_slice(links, 1, 2)) AS link FROM pages JOIN s USING (url))
+            SELECT url, 0 AS depth FROM s UNION ALL SELECT DISTINCT {normalized('link')}, 1 FROM l WHERE contains({authority('link')}, {quote(DOMAIN)})
+            AND NOT {blocked(normalized('link'), BY_SEEDS)} AND {normalized('link')} NOT IN (SELECT url FROM s) AND {normalized('link')} NOT IN (SELECT url FROM known)""",
+        "history_append": f"""WITH {TURNS} SELECT session_id, string_agg(role || ':' || text, ',' ORDER BY turn) || ',user:again ' || session_id || ',assistant:' || count(*) AS messages
+            FROM turns GROUP BY session_id""",
+        "question_audience": r"""SELECT doc_id, CASE WHEN g AND NOT u THEN 'grad' WHEN u AND NOT g THEN 'undergrad' ELSE 'both' END AS audience FROM (SELECT doc_id,
+            regexp_matches(lower(coalesce(text, '')), '\b(graduate school|phd|doctoral|master|masters|mba|postdoc)\b') AS g,
+            regexp_matches(lower(coalesce(text, '')), '\b(undergrad[a-z0-9_]*|freshman|freshmen|sophomore|first-year|transfer)\b') AS u FROM documents)""",
+        "query_expand": "SELECT doc_id, coalesce(source, '') || CASE WHEN lang IS NULL THEN '' ELSE '|' || lang || '|' || coalesce(site, '') END AS queries FROM documents",
+        "lexical_rerank": rf"""WITH {CANDIDATES}, w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS words FROM documents),
+            s AS (SELECT question, c.id, pos, round(CASE WHEN len(q.words) > 0 THEN len(list_intersect(q.words, d.words)) / len(q.words) ELSE 0 END, 9) AS score
+                FROM candidates c JOIN w d ON d.doc_id = c.id JOIN w q ON q.doc_id = question * 200)
+            SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, pos) AS place, score FROM s QUALIFY place <= 5""",
+        "page_analysis": f"""WITH h AS (SELECT rec_id, {html_of('text')} AS h FROM gap_fill_data), t AS (SELECT rec_id, {html_text('h')} AS t, regexp_extract_all(h, {quote(ANCHOR)}, 1) AS l FROM h)
+            SELECT rec_id, t <> '' AS has_content, md5(substring(t, 1, 50000)) AS digest, array_to_string(l[1:5], ' ') AS links, array_to_string(l[1:2], ' ') AS few,
+            CASE {" ".join(f"WHEN contains(lower(t), {quote(c)}) THEN {quote(n)}" for c, n in CATEGORIES.items())} ELSE 'Campus Life' END AS category FROM t""",
+        "json_records": "SELECT rec_id, code, title, enrolled, description, coalesce(array_to_string(list_transform(schedule, lambda x: coalesce(x.days, '')), ','), '') AS days FROM courses",
+        "text_lines": "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM gap_fill_data) WHERE line <> '' GROUP BY line",
+        "metadata_update": f"""WITH k AS (SELECT {ID} AS id, src_ord, rec_id, url FROM ({SOURCES}))
+            SELECT id, rec_id, {audience('url')} AS audience FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY src_ord DESC, rec_id DESC) = 1""",
+        "course_order": f"SELECT row_number() OVER (ORDER BY code) - 1 AS ord, code, title FROM ({MERGED})",
+        "section_parse": section_parse(),
         "collection_scan": f"SELECT _source, rec_id, department, content_type FROM ({SOURCES})",
         "collection_count": f"SELECT _source, count(*) AS n FROM ({SOURCES}) GROUP BY ALL",
     }

@@ -4,12 +4,28 @@ cannot be overwritten while it is read and parquet has no MERGE."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line."""
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str, per_array: int = 10_000) -> None:
+    """Files of one JSON array of about ``per_array`` records each, as
+    ``readers.json_array`` reads them.  Null fields are left out."""
+    arrays = max(1, -(-df.count() // per_array))
+    bucket = F.pmod(F.xxhash64(*(F.to_json(F.struct(F.col(c))) for c in df.columns), F.rand(7)), F.lit(arrays))
+    packed = df.groupBy(bucket.alias("b")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    packed.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def write_text(lines: DataFrame, path: str, column: str = "line") -> None:
+    """Text files of the lines, which hold no line ends themselves; null is ''."""
+    lines.select(F.coalesce(column, F.lit("")).alias("value")).write.mode("overwrite").text(path)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

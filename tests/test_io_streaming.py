@@ -19,6 +19,19 @@ def test_json_and_lines(spark, tmp_path):
     assert readers.concat_pages(pages).first().text == "a\nb\n\n"
 
 
+def test_written_arrays_and_lines_are_read_again(spark, tmp_path):
+    rows = [(i, None if i % 3 else f"t{i}\n\"é", [("M", None)]) for i in range(25)]
+    schema = "id int, text string, days array<struct<a:string,b:string>>"
+    df = spark.createDataFrame(rows, schema)
+    sinks.write_json_array(df, str(tmp_path / "j"), per_array=10)
+    got = readers.json_array(spark, str(tmp_path / "j"), schema)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, df.collect()))
+    sinks.write_json_array(df.limit(0), str(tmp_path / "e"))
+    assert readers.json_array(spark, str(tmp_path / "e"), schema).count() == 0
+    sinks.write_text(spark.createDataFrame([("x",), (None,)], "line string"), str(tmp_path / "t"))
+    assert sorted(r.line for r in readers.text_lines(spark, str(tmp_path / "t")).collect())[-1] == "x"
+
+
 def test_versions(spark, tmp_path):
     base = str(tmp_path / "t")
     with pytest.raises(FileNotFoundError):

@@ -1,10 +1,11 @@
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarrycrest.functions.urls import BLOCKED_BY_SEEDS
-from quarrycrest.operators import crawl, index, providers, retrieve, sessions
+from quarrycrest.operators import crawl, index, order, providers, retrieve, sessions
 
 
 def ids(df, *cols):
@@ -24,6 +25,30 @@ def test_last_and_first_wins(spark):
     assert index.last_wins(df.limit(0), ["k"], ["ord"]).count() == 0
 
 
+def test_unique_winners(spark):
+    df = spark.createDataFrame([("a", 1, "v1"), (None, 2, "w"), ("a", 3, None), (None, None, "n")], "k string, ord int, v string")
+    for unique in (False, True):
+        assert {(r.k, r.v, r.first_pos.ord) for r in index.last_wins(df, ["k"], ["ord"], unique).collect()} == {("a", None, 1), (None, "w", None)}
+        assert {(r.k, r.v) for r in index.first_wins(df, ["k"], ["ord"], unique).collect()} == {("a", "v1"), (None, "n")}
+    assert index.last_wins(df.limit(0), ["k"], ["ord"], True).count() == 0
+
+
+def test_update_fields(spark):
+    rows = spark.createDataFrame([("1", "x", "both"), ("2", "y", "both")], "id string, t string, audience string")
+    new = spark.createDataFrame([("2", "grad"), ("3", "grad")], "id string, audience string")
+    assert ids(index.update_fields(rows, new, ["audience"]), "id", "t", "audience") == [("1", "x", "both"), ("2", "y", "grad")]
+    assert ids(index.update_fields(rows.drop("audience"), new, ["audience"]), "id", "audience") == [("1", None), ("2", "grad")]
+
+
+def test_order_without_a_global_window(spark):
+    df = spark.createDataFrame([("f", i, i % 7 == 3) for i in range(500)] + [("g", i, i % 5 == 0) for i in range(30)] + [("h", 0, None)], "file string, at int, flag boolean").repartition(9)
+    got = order.numbered(df, ["file", "at"]).collect()
+    assert [(r.file, r["at"]) for r in sorted(got, key=lambda r: r.ord)] == sorted((r.file, r["at"]) for r in got) and {r.ord for r in got} == set(range(531))
+    got = order.running_count(df, "flag", "file", "at", "n").collect()
+    assert all(r.n == sum(i % (7 if r.file == "f" else 5) == (3 if r.file == "f" else 0) for i in range(r["at"] + 1)) for r in got if r.file != "h") and len(got) == 531
+    assert order.numbered(df.limit(0), ["file"]).count() == 0 == order.running_count(df.limit(0), "flag", "file", "at", "n").count()
+
+
 def test_insert_and_upsert(spark):
     old = spark.createDataFrame([("1", "old"), ("2", "x")], "id string, t string")
     new = spark.createDataFrame([("1", "new"), ("3", "y")], "id string, t string")
@@ -33,7 +58,9 @@ def test_insert_and_upsert(spark):
     assert ids(index.union_sources({"a": old, "gone": None, "b": new}), "_source", "src_ord", "id") == [("a", 0, "1"), ("a", 0, "2"), ("b", 2, "1"), ("b", 2, "3")]
 
 
-def test_knn_is_exact_over_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_knn_is_exact(spark, monkeypatch, sent):
+    monkeypatch.setattr(retrieve, "BROADCAST_VALUES", sent)
     monkeypatch.setattr(retrieve, "QUERY_BLOCK", 3)
     monkeypatch.setattr(retrieve, "ROW_BLOCK", 7)
     rng = np.random.default_rng(0)
@@ -88,6 +115,8 @@ def test_crawl(spark):
     got = crawl.crawl(seeds, pages, d, BLOCKED_BY_SEEDS, max_depth=3)
     assert ids(got, "url", "depth", "department") == [(u("a"), 1, ""), (u("b"), 2, "Art"), (u("c"), 2, "Art"), (u("d"), 3, "Art")]
     assert ids(crawl.crawl(seeds, pages, d, BLOCKED_BY_SEEDS, max_depth=2, by_depth={1: 1}), "url") == [(u("a"),), (u("b"),)]
+    known = spark.createDataFrame([(u("b"),)], "url string")
+    assert ids(crawl.crawl(seeds.withColumn("depth", F.lit(0)), pages, d, BLOCKED_BY_SEEDS, 3, crawl.SEED_LINKS_BY_DEPTH, first_depth=0, visited=known), "url", "depth") == [(u("a"), 0), (u("c"), 1)]
     flags = spark.createDataFrame([("true",), ("False",), ("false",), (None,)], "f string")
     assert [r[0] for r in flags.select(crawl.has_content(F.col("f"))).collect()] == [True, False, False, True]
     plan = crawl.seed_plan(spark.createDataFrame([(1, u("a")), (2, u("a/")), (3, u("k")), (4, u("k"))], "ord int, url string"), spark.createDataFrame([(u("k"),)], "url string"))
@@ -108,4 +137,6 @@ def test_page_providers(spark):
     a, b, c = [r.p for r in df.select(providers.analyze_page(F.col("h"), 1).alias("p")).collect()]
     assert (a.has_content, a.text, a.sub_links) == (True, "Text\n[a](/1)\n[b](/2)", ["/1"]) and not b.has_content and c is None
     assert [r[0] for r in df.select(providers.select_links(F.col("h"), 5)).collect()] == [["/1", "/2"], [], []]
+    general = [r.p for r in df.select(providers.analyze_general_page(F.concat("h", F.lit("<p>Dining and housing</p>"))).alias("p")).collect()]
+    assert general[0].category == "Housing" and general[1].text == "Dining and housing" and general[2] is None
     assert df.limit(1).select(providers.expand_query(F.lit("q"), F.array(F.lit("a"))), providers.expand_query(F.lit("q"))).first()[:] == (["q", "a"], ["q"])
