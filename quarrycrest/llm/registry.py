@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrycrest.llm import boilerplate, byte_pairs, languages, mixing, near_duplicates, repeated_lines, residue, splitting, survivors, truncation
@@ -52,33 +52,30 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf, "academic_info"))
 
 
-def _trusted_courses(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Course rows with code and trust, and the descriptions that lost their end."""
+def _trusted_courses(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Course rows with code and trust, and the conditions of real titles and descriptions;
+    a description that lost its end is none."""
     courses = table(spark, sf, "courses")
     cut = truncation.find(courses).where("cut and field = 'description'").select("rec_id", F.lit(True).alias("is_cut"))
     trust = table(spark, sf, "feed_trust").groupBy("feed").agg(F.max("trust").alias("trust"))
     # one row a feed: a settings table
     rows = courses.withColumn("course_code", survivors.course_code(F.col("code"))).join(F.broadcast(trust), "feed", "left").join(cut, "rec_id", "left")
-    return rows, cut
+    return rows, {"title": truncation.is_real(F.col("title")), "description": truncation.is_real(F.col("description")) & F.col("is_cut").isNull()}
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = _trusted_courses(spark, sf)
-    real = {"title": truncation.is_real(F.col("title")), "description": truncation.is_real(F.col("description")) & F.col("is_cut").isNull()}
-    best = survivors.independent(rows, "course_code", real, "trust", "captured_at")
+    """Title and description do not depend on each other here: two stars of one bundle."""
+    rows, real = _trusted_courses(spark, sf)
+    best = survivors.consistent(rows, "course_code", {c: [c] for c in real}, real, [], "trust", "captured_at")
     return best.where("n_rows >= 2").select("course_code", *(F.coalesce(f"{c}_rec", F.lit(-1)).alias(f"{c}_rec") for c in real))
 
 
 def p5_consistent(spark: SparkSession, sf: str) -> DataFrame:
     """Title, description and the pair (credits, offered) of one course, where the
     credits must be those of a record with that title, and the description too."""
-    rows, _ = _trusted_courses(spark, sf)
+    rows, real = _trusted_courses(spark, sf)
     bundles = {"title": ["title"], "description": ["description"], "terms": ["credits", "offered"]}
-    real = {
-        "title": truncation.is_real(F.col("title")),
-        "description": truncation.is_real(F.col("description")) & F.col("is_cut").isNull(),
-        "terms": truncation.is_real(F.col("credits")),
-    }
+    real["terms"] = truncation.is_real(F.col("credits"))
     return survivors.consistent(rows, "course_code", bundles, real, [("title", "description"), ("title", "terms")], "trust", "captured_at")
 
 

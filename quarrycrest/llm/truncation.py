@@ -11,7 +11,10 @@ there that the distribution doesn't explain.
 
 Ending: traces (dots, half an entity or tag), a closing mark, or neither.  In the last
 case the sentence is compared with the corpus: how many words sentences with the same
-opening have, and whether the last word occurs as a whole word elsewhere.
+opening have, and whether the last word occurs as a whole word elsewhere.  What each
+ending is worth is fitted: what stands at limits beyond what stands beside them shows how
+cut values end, the other values how whole ones do.  So where a source cuts behind full
+stops, a closed value right at its limit counts as cut, and elsewhere it does not.
 
 Null, blank and stand-in values are not looked at.  Null sources are one source.
 """
@@ -35,9 +38,12 @@ LEAST, TIMES, NEAR = 4, 4.0, 25
 #: and it is a limit if at least this share of its values has a broken end.
 LIMIT_BREAKS = 0.3
 SAME_IN_FEEDS = 3
-#: Log odds: prior of a cut away from any limit, and what each ending adds.
-PRIOR = math.log(0.02 / 0.98)
-TRACE, CLOSED, BROKEN, ENTIRE = 9.0, -7.0, 6.0, -3.0
+#: What the fit of the endings starts from: the share of cut values away from limits, the
+#: log odds that each ending adds and how whole values end; and what that counts for, in values.
+SHARE = 0.02
+ENDINGS = {"trace": 9.0, "closed": -7.0, "broken": 6.0, "entire": -3.0}
+WHOLE = (1e-4, 0.9, 1e-3, 0.1)
+PRIOR_VALUES, ROUNDS, DEVIATIONS = 10.0, 50, 3.0
 TRACES = r"(?:\.\.\.|…|�|&#?\w{0,7}|<[a-zA-Z/]?\w{0,7})\s*\z"
 CLOSERS = r"[.!?。！？)\]\"'”’]\s*\z"
 
@@ -52,6 +58,45 @@ def is_real(value: Column) -> Column:
     return (plain != "") & ~plain.isin(*STAND_INS)
 
 
+def endings_fitted(at: np.ndarray, beside: np.ndarray, away: np.ndarray) -> tuple[float, np.ndarray]:
+    """(prior log odds away from limits, log odds of each ending).
+
+    at: values at limits by ending; beside: what the lengths around them have on average,
+    and DEVIATIONS standard deviations more; away: all others.  What stands at limits beyond what stands beside them shows how cut
+    values end; the share of cut values away from limits and how whole values end follow
+    by EM from the others."""
+    start = np.array(list(ENDINGS.values()))
+    whole = np.array(WHOLE) / sum(WHOLE)
+    cut = whole * np.exp(start)
+    cut = PRIOR_VALUES * cut / cut.sum() + np.maximum(at - beside, 0)
+    cut /= cut.sum()
+    pseudo, share = PRIOR_VALUES * whole, SHARE
+    for _ in range(ROUNDS):
+        r = share * cut / (share * cut + (1 - share) * whole) * away
+        whole = pseudo + away - r
+        whole /= whole.sum()
+        share = (r.sum() + PRIOR_VALUES * SHARE) / (away.sum() + PRIOR_VALUES)
+    return math.log(share / (1 - share)), np.log(cut) - np.log(whole)
+
+
+def _endings(out: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, beside, away) of rows (feed, field, n, ending, posterior): four numbers each.
+
+    The lengths of a source that lie around its limits are met by a join on (feed,
+    field) of histograms, which have one row a length and ending."""
+    histogram = out.groupBy("feed", "field", "n", "ending").agg(F.count("*").alias("c"), F.max("posterior").alias("posterior"))
+    spots = histogram.where("posterior > 0").select("feed", "field", F.col("n").alias("spot")).distinct()
+    near = histogram.where("posterior = 0").join(spots, ["feed", "field"]).where(F.abs(F.col("n") - F.col("spot")) <= NEAR)
+    lengths = 2 * NEAR - 4  # around a limit, which takes about three itself
+    each = near.groupBy("feed", "field", "spot", "ending").agg((F.sum("c") / lengths).alias("mean"), (F.sum(F.col("c") * F.col("c")) / lengths).alias("square"))
+    beside = each.groupBy("ending").agg(F.sum("mean").alias("beside"), F.sum(F.col("square") - F.col("mean") * F.col("mean")).alias("spread"))
+    counts = histogram.groupBy("ending").agg(F.sum(F.when(F.col("posterior") > 0, F.col("c")).otherwise(0)).alias("at"), F.sum(F.when(F.col("posterior") > 0, 0).otherwise(F.col("c"))).alias("away"))
+    rows = {r.ending: r for r in counts.join(beside, "ending", "left").collect()}
+    at, beside, spread, away = (np.array([float(getattr(rows[e], c) or 0) if e in rows else 0.0 for e in ENDINGS]) for c in ("at", "beside", "spread", "away"))
+    # a handful of values proves nothing where there are none beside
+    return at, beside + DEVIATIONS * np.sqrt(spread + PRIOR_VALUES), away
+
+
 def long_form(df: DataFrame, fields=FIELDS, key: str = "rec_id", source: str = "feed") -> DataFrame:
     """(rec_id, feed, field, value, n) of real values; n is the length as it stands."""
     entries = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("e")
@@ -163,9 +208,11 @@ def find(df: DataFrame, fields=FIELDS, key: str = "rec_id", source: str = "feed"
     # where the cut fell behind a space that was stripped, a value is that much shorter
     real = real.select("feed", "field", F.explode(F.array(*(F.col("n") - i for i in range(3)))).alias("n"), "posterior").groupBy("feed", "field", "n").agg(F.max("posterior").alias("posterior"))
     out = out.join(real, ["feed", "field", "n"], "left").withColumn("posterior", F.coalesce("posterior", F.lit(0.0)))
-    weight = F.create_map(*(F.lit(x) for pair in {"trace": TRACE, "closed": CLOSED, "broken": BROKEN, "entire": ENTIRE}.items() for x in pair))
-    prior = F.when(F.col("posterior") > 0, F.log(F.col("posterior") / (1 - F.col("posterior")))).otherwise(F.lit(PRIOR))
-    odds = F.greatest(prior, F.lit(PRIOR)) + F.element_at(weight, F.col("ending"))
+    out = checkpoint(out)
+    away, weights = endings_fitted(*_endings(out))
+    weight = F.create_map(*(F.lit(x) for pair in zip(ENDINGS, map(float, weights)) for x in pair))
+    prior = F.when(F.col("posterior") > 0, F.log(F.col("posterior") / (1 - F.col("posterior")))).otherwise(F.lit(away))
+    odds = F.greatest(prior, F.lit(away)) + F.element_at(weight, F.col("ending"))
     out = out.withColumn("probability", 1 / (1 + F.exp(-odds)))
     return out.select("rec_id", "feed", "field", "n", F.col("posterior").alias("limit_posterior"), "ending", "probability", (F.col("probability") > 0.5).alias("cut"))
 

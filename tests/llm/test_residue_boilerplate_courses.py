@@ -1,7 +1,9 @@
 import datetime
+import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarrycrest.llm import boilerplate, residue, survivors, truncation
@@ -170,20 +172,26 @@ def test_independent_survivors(spark):
     t = datetime.datetime(2026, 1, 1)
     rows = [(1, "math 101-01", "a", 3, None), (2, "MATH-101 -2", "b", 3, t), (3, "MATH101", "c", 3, t), (4, "MATH 101", None, 9, t), (5, "MATH 101W-1", "w", 1, t), (6, None, "z", 9, t), (7, "??", "z", 9, t), (2, "MATH-101 -2", "b", 3, t), (8, "MATH 101", "d", None, t)]
     df = spark.createDataFrame(rows, "rec_id bigint, code string, title string, trust int, at timestamp").withColumn("c", survivors.course_code(F.col("code")))
-    got = {r.c: (r.n_rows, r.title_rec) for r in survivors.independent(df, "c", {"title": F.col("title").isNotNull()}, "trust", "at").collect()}
-    assert got == {"MATH 101": (6, 2), "MATH 101W": (1, 5)}
-    assert survivors.independent(df.limit(0), "c", {"title": F.lit(True)}, "trust", "at").count() == 0
+    best = lambda d: survivors.consistent(d, "c", {"title": ["title"]}, {"title": F.col("title").isNotNull()}, [], "trust", "at")
+    assert {r.c: (r.n_rows, r.title_rec) for r in best(df).collect()} == {"MATH 101": (6, 2), "MATH 101W": (1, 5)}
+    assert best(df.limit(0)).count() == 0
+    alone = best(df.where("rec_id in (4, 8)"))
+    assert {(r.c, r.title_rec) for r in alone.collect()} == {("MATH 101", 8)}  # an unknown trust is better than none
+    assert {(r.c, r.title_rec) for r in best(df.where("rec_id = 4")).collect()} == {("MATH 101", None)}
 
 
-def test_consistent_survivors_equal_brute_force(spark):
+@pytest.mark.parametrize("pairs", [[("A", "B"), ("B", "C")], [("A", "B"), ("A", "C")], [("A", "C")], [("A", "B"), ("B", "C"), ("A", "C")], []])
+def test_consistent_survivors_equal_brute_force(spark, pairs):
+    """Searched (a chain, a circle) and by exact bounds (stars)."""
     rng = random.Random(11)
     rows = [(i, rng.randrange(25), rng.choice(["p", "q", "r", None]), rng.choice(["1", "2", "3"]), rng.choice(["x", "y", None]), rng.randint(1, 9)) for i in range(200)]
     rows += rows[:20]
     df = spark.createDataFrame([(*r, None) for r in rows], "rec_id bigint, g int, a string, b string, c string, trust int, at timestamp")
     bundles = {"A": ["a"], "B": ["b"], "C": ["c"]}
     real = {k: F.col(v[0]).isNotNull() for k, v in bundles.items()}
-    got = {r.g: (r.A_rec, r.B_rec, r.C_rec) for r in survivors.consistent(df, "g", bundles, real, [("A", "B"), ("B", "C")], "trust", "at").collect()}
+    got = {r.g: (r.A_rec, r.B_rec, r.C_rec) for r in survivors.consistent(df, "g", bundles, real, pairs, "trust", "at").collect()}
     by = {r[0]: r for r in rows}
+    place = {"A": 2, "B": 3, "C": 4}
     for g in {r[1] for r in rows}:
         own = [r for r in by.values() if r[1] == g]
         best = {}
@@ -191,15 +199,35 @@ def test_consistent_survivors_equal_brute_force(spark):
             for r in own:
                 if r[k] is not None:
                     best[k, r[k]] = max(best.get((k, r[k]), 0), r[5])
-        together = {(k, r[k], r[k + 1]) for r in own for k in (2, 3) if r[k] is not None and r[k + 1] is not None}
         options = [[None, *(v for k, v in best if k == j)] for j in (2, 3, 4)]
-        top = max(
-            sum(best[k, v] for k, v in ((2, a), (3, b), (4, c)) if v is not None)
-            for a in options[0] for b in options[1] for c in options[2]
-            if (a is None or b is None or (2, a, b) in together) and (b is None or c is None or (3, b, c) in together)
-        )
-        assert sum(by[i][5] for i in got[g] if i is not None) == top
-    assert survivors.consistent(df.limit(0), "g", bundles, real, [("A", "B")], "trust", "at").count() == 0
+        fits = lambda v: all(v[x] is None or v[y] is None or any(r[place[x]] == v[x] and r[place[y]] == v[y] for r in own) for x, y in pairs)  # noqa: E731, B023
+        top = max(sum(best[place[k], v[k]] for k in v if v[k] is not None) for v in (dict(zip("ABC", o)) for o in itertools.product(*options)) if fits(v))
+        chosen = {k: None if i is None else by[i][place[k]] for k, i in zip("ABC", got[g])}
+        assert fits(chosen) and sum(by[i][5] for i in got[g] if i is not None) == top
+    assert survivors.consistent(df.limit(0), "g", bundles, real, pairs, "trust", "at").count() == 0
+
+
+def test_endings_are_fitted():
+    at, away = np.array([10.0, 300.0, 600.0, 90.0]), np.array([2.0, 9000.0, 30.0, 900.0])
+    closed, entire = truncation.endings_fitted(at, np.array([0.0, 280.0, 1.0, 30.0]), away)[1][[1, 3]]
+    assert closed < -3 < entire  # as many closed values beside the limits as at them
+    assert truncation.endings_fitted(at, np.array([0.0, 10.0, 1.0, 30.0]), away)[1][1] > -1.5
+
+
+def test_posterior_decides_what_a_source_cuts_behind_full_stops(spark):
+    """A feed that cuts at 120 characters, often behind a stop; the same endings elsewhere
+    are whole.  Without limits found in the lengths none of them counts as cut."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        feed = "limited" if i % 2 else "free"
+        v = " ".join(rng.choice(["Bring a pen.", "Ask the desk.", "Go by bus or by boat.", "All are welcome at nine."]) for _ in range(rng.randint(2, 24))) + f" See hall {i}."
+        rows.append((i, feed, v[:120] if feed == "limited" else v, feed == "limited" and len(v) > 120))
+    df = spark.createDataFrame(rows, "rec_id bigint, feed string, description string, truth boolean")
+    closed = truncation.find(df, ("description",)).where("ending = 'closed'").join(df.select("rec_id", "truth"), "rec_id")
+    hit = closed.where("cut and truth").count()
+    assert hit > 20 and hit >= 0.9 * closed.where("truth and n = 120").count() and closed.where("cut and not truth").count() <= 0.1 * hit
+    assert closed.where("cut and limit_posterior = 0").count() == 0
 
 
 def test_weak_labels():
