@@ -6,8 +6,10 @@ once more, at most max_repeats times; what is left of the budget is filled with
 documents in the order of a hash-random key, cut where the running total reaches it.
 
 Running totals are distributed: the key's top bits give BUCKETS ranges, the totals
-of (source, range), at most sources x BUCKETS rows, are summed up in order, and only
-within a range is a window taken, of 1/BUCKETS of a source, however large that is.
+of (source, range) are summed up in order, which gives the one range of each source in
+which its budget ends.  Those ranges, one row a source, are broadcast; documents below
+are in, those above out, and only within the range, 1/BUCKETS of a source, is a window
+taken.  Documents are never shuffled but for those.
 
 Documents with a null or unlisted source, and null or empty texts (0 tokens), are
 taken 0 times.  Equal rows with different ids are different documents; ties of the
@@ -55,22 +57,22 @@ def mix(documents: DataFrame, mix_table: DataFrame, seed: int = 42, path: str |
         raise ValueError("more than 10,000 sources to be mixed")
     sizes = checkpoint(token_sizes(documents, key, source, text, path))
     todo = checkpoint(plan(sizes, mix_table))
-    keyed = sizes.join(F.broadcast(todo.select("source", "epochs", "rest")), "source").where("tokens > 0")
-    keyed = keyed.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKETS.bit_length() + 1))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.withColumn("low", F.coalesce(F.sum("n").over(before), F.lit(0))).select("source", "bucket", "low", "n")
-    edge = F.broadcast(edge)  # at most BUCKETS rows a source
-    ranged = keyed.join(edge, ["source", "bucket"])
-    whole = ranged.where("low + n <= rest").select("doc_id", F.lit(1).alias("extra"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    # only ranges that hold the cut are sorted; a document is in if its middle lies within the budget
-    cut = ranged.where("low < rest and low + n > rest").withColumn("upto", F.col("low") + F.sum("tokens").over(within))
-    cut = cut.where("2 * upto - tokens <= 2 * rest").select("doc_id", F.lit(1).alias("extra"))
-    copies = (
-        sizes.join(whole.unionByName(cut), "doc_id", "left")
-        .join(F.broadcast(todo.select("source", "epochs")), "source", "left")
-        .select("doc_id", "source", "tokens", F.when(F.col("tokens") > 0, F.coalesce("epochs", F.lit(0)) + F.coalesce("extra", F.lit(0))).otherwise(0).cast("int").alias("copies"))
+    rows = sizes.join(F.broadcast(todo.select("source", "epochs", "rest")), "source", "left").withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+    rows = rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKETS.bit_length() + 1))
+    sums = rows.where("tokens > 0 and rest > 0").groupBy("source", "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
+    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    # the range in which a source's budget ends, and what lies below it: one row a source
+    cut = sums.withColumn("upto", so_far).where("upto > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("low"))).alias("c"))
+    rows = rows.join(F.broadcast(cut.select("source", F.col("c.bucket").alias("cut"), F.col("c.low").alias("low"))), "source", "left")
+    counts = F.coalesce((F.col("tokens") > 0) & (F.col("rest") > 0), F.lit(False))
+    at_cut = counts & F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+    others = rows.where(~at_cut).withColumn("extra", (counts & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))).cast("int"))
+    # only that range is sorted; a document is in if its middle lies within the budget
+    within = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("low") + F.sum("tokens").over(within)
+    cutting = rows.where(at_cut).withColumn("extra", (2 * upto - F.col("tokens") <= 2 * F.col("rest")).cast("int"))
+    copies = others.unionByName(cutting).select(
+        "doc_id", "source", "tokens", F.when(F.col("tokens") > 0, F.coalesce("epochs", F.lit(0)) + F.col("extra")).otherwise(0).cast("int").alias("copies")
     )
     copies = checkpoint(copies)
     taken = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))

@@ -110,6 +110,11 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return byte_pairs.encode(table(spark, sf, "documents"))
 
 
+def p8_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text encoded and decoded again; null has become ''."""
+    return byte_pairs.decode(p8_ids(spark, sf))
+
+
 def p9_copies(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_mix"))[0]
 

@@ -39,6 +39,7 @@ counts AS (SELECT rec_id, count(*) AS removed FROM gone GROUP BY rec_id)
 SELECT a.rec_id, CASE WHEN removed IS NULL THEN a.text ELSE coalesce(kept.text, '') END AS text, coalesce(removed, 0) AS removed
 FROM academic_info a LEFT JOIN counts USING (rec_id) LEFT JOIN kept USING (rec_id)
 """,
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     # every pair that shares a sequence is compared
     "p1_found": r"""
 WITH words AS (SELECT rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM gap_fill_data),
