@@ -52,6 +52,10 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf, "academic_info"))
 
 
+def p4_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_lines.repeated_chunks(table(spark, sf, "academic_info"))
+
+
 def _trusted_courses(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, Column]]:
     """Course rows with code and trust, and the conditions of real titles and descriptions;
     a description that lost its end is none."""

@@ -7,6 +7,10 @@ pages are counted for each (site, chunk) with partial aggregates.  A line on man
 pages has every one of its chunks on as many pages, so the lines whose chunks are
 all frequent are the only ones that can be; those are counted exactly.
 
+``repeated_chunks`` takes texts whole: its chunks end only where the hash says so, not
+at line ends, and those that are frequent themselves are the result, as places in the
+text.  They are what is left of a notice that was joined to other lines or wrapped anew.
+
 A page is a normalised url, a site its host.  Rows with null url and null or empty
 text count for nothing; lines without letters or digits neither.  Equal rows are
 one page.  An empty table gives empty results.
@@ -27,6 +31,8 @@ WINDOW = 8
 #: A chunk has 64 letters and digits on average.
 MASK = np.uint64(63)
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: Chunks of whole texts that count have so many letters and digits.
+LEAST_LETTERS = 16
 #: Frequent chunks that are broadcast at most (16 bytes each); beyond, a shuffled join.
 BROADCAST_ROWS = 200_000
 
@@ -86,12 +92,59 @@ def _line_rows(rows: pa.RecordBatch, texts: list):
     return pa.RecordBatch.from_arrays([_i64(ident), _i64(numbers[at]), _i64(site), _i64(page), _i64(line[at]), pa.ListArray.from_arrays(offsets, _i64(chunk))], ["id", "line_no", "site", "page", "line", "chunks"])
 
 
-def frequent_chunks(df: DataFrame, key="rec_id", url="url", text="text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def cut_whole(texts):
+    """(text number, start, end, chunk) of every chunk of LEAST_LETTERS letters and digits
+    or more, regardless of line ends; places count from the text's start."""
+    b = TextBatch(texts)
+    place = np.flatnonzero(b.alnum)
+    bounds = np.searchsorted(place, b.start)
+    s, e = bounds[:-1], bounds[1:]
+    full = np.flatnonzero(e > s)
+    s, e = s[full], e[full]
+    of = b.span_hash(b.low[b.alnum])
+    at = np.arange(WINDOW, len(place))
+    at = at[(of(at - WINDOW, at) & MASK) == 0]
+    owner = np.searchsorted(s, at, "right") - 1
+    inside = at - WINDOW >= s[owner] if len(at) else np.zeros(0, bool)
+    starts = np.concatenate((s, at[inside]))
+    owner = np.concatenate((np.arange(len(s)), owner[inside]))
+    order = np.argsort(starts, kind="stable")
+    starts, owner = starts[order], owner[order]
+    stops = np.minimum(np.append(starts[1:], len(place)), e[owner]) if len(starts) else starts
+    long = stops - starts >= LEAST_LETTERS
+    starts, stops, docs = starts[long], stops[long], full[owner[long]]
+    base = b.start[docs]
+    return docs, place[starts] - base, place[stops - 1] + 1 - base, of(starts, stops)
+
+
+def _whole_chunk_rows(rows: pa.RecordBatch, texts: list):
+    docs, _, _, chunk = cut_whole(texts)
+    site, page = (rows.column(i).to_numpy(zero_copy_only=False)[docs] for i in (1, 2))
+    _, first = np.unique(mix(page.view(np.uint64)) + chunk, return_index=True)
+    return pa.RecordBatch.from_arrays([_i64(site[first]), _i64(page[first]), _i64(chunk[first])], ["site", "page", "chunk"])
+
+
+def _placed_chunk_rows(rows: pa.RecordBatch, texts: list):
+    docs, start, end, chunk = cut_whole(texts)
+    ident, site = (rows.column(i).to_numpy(zero_copy_only=False)[docs] for i in (0, 1))
+    return pa.RecordBatch.from_arrays([_i64(ident), _i64(site), _i64(start), _i64(end), _i64(chunk)], ["id", "site", "start", "end", "chunk"])
+
+
+def repeated_chunks(df: DataFrame, key="rec_id", url="url", text="text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(rec_id, start, end, pages, site_pages): where chunks stand that are repeated
+    excessively within their site; start and end count characters from 0."""
+    often = checkpoint(frequent_chunks(df, key, url, text, min_pages, min_share, _whole_chunk_rows))
+    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    placed = map_texts(_pages(df, key, url, text), "id bigint, site bigint, start bigint, end bigint, chunk bigint", "text", _placed_chunk_rows)
+    return placed.join(often, ["site", "chunk"]).select(F.col("id").alias("rec_id"), "start", "end", "pages", "site_pages")
+
+
+def frequent_chunks(df: DataFrame, key="rec_id", url="url", text="text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, rows_of=_chunk_rows) -> DataFrame:
     """(site, chunk, pages, site_pages) of chunks on at least min_pages pages and
     min_share of the site's pages.  site and chunk are hashes."""
     pages = _pages(df, key, url, text)
     sizes = pages.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("site_pages")).where(F.col("site_pages") >= min_pages)
-    counts = map_texts(pages, "site bigint, page bigint, chunk bigint", "text", _chunk_rows).distinct().groupBy("site", "chunk").agg(F.count("*").alias("pages"))
+    counts = map_texts(pages, "site bigint, page bigint, chunk bigint", "text", rows_of).distinct().groupBy("site", "chunk").agg(F.count("*").alias("pages"))
     return counts.where(F.col("pages") >= min_pages).join(sizes, "site").where(_often("pages", "site_pages", min_share))
 
 

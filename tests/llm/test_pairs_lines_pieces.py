@@ -194,3 +194,54 @@ def test_a_boundary_anywhere_in_the_window_beats_white_space():
     # only in the first half; only behind the place that leaves enough for the last piece
     assert splitting.spans(0, 300, 200, 20, 10, np.array([40, 60]), np.array([1.5, 0.1]), spaces)[0] == (0, 60)
     assert splitting.spans(0, 210, 200, 0, 80, np.array([190]), np.array([0.1]), spaces)[0] == (0, 190)
+
+
+def whole_chunks(text):
+    """Chunks of a text, one letter at a time: a boundary wherever the same hash of the
+    last WINDOW letters and digits meets the mask, however the text is laid out."""
+    letters = [(i, c) for i, c in enumerate(text) if c.isalnum()]
+    docs, starts, ends, keys = repeated_lines.cut_whole([text])
+    plain = [[c.lower() for i, c in letters if s <= i < e] for s, e in zip(starts.tolist(), ends.tolist())]
+    return list(zip(starts.tolist(), ends.tolist(), map("".join, plain), keys.tolist()))
+
+
+def test_whole_chunks_ignore_the_layout():
+    rng = random.Random(3)
+    words = [rng.choice(WORDS) for _ in range(900)]
+    flat, laid = " ".join(words), "".join(w.upper() + rng.choice([" ", "\n", " * ", ", \n\n- "]) for w in words)
+    a, b = whole_chunks(flat), whole_chunks(laid)
+    assert [(t, k) for _, _, t, k in a] == [(t, k) for _, _, t, k in b] and len(a) > 10
+    assert all(len(t) >= repeated_lines.LEAST_LETTERS for _, _, t, _ in a)
+    # a text put before moves the places, not the chunks beyond its first boundary
+    moved = {k for *_, k in whole_chunks("some other words here " + flat)}
+    assert len({k for *_, k in a} - moved) <= 1
+    docs, starts, ends, keys = repeated_lines.cut_whole(["", flat, None, " - ", flat])
+    assert set(docs.tolist()) == {1, 4} and (keys[docs == 1] == keys[docs == 4]).all() and (starts[docs == 1] == starts[docs == 4]).all()
+
+
+@pytest.mark.parametrize("limit", [repeated_lines.BROADCAST_ROWS, -1])
+def test_repeated_chunks_equal_a_count_in_python(spark, limit, monkeypatch):
+    """A notice that every page wraps in its own way."""
+    monkeypatch.setattr(repeated_lines, "BROADCAST_ROWS", limit)
+    rng = random.Random(4)
+    notice = [rng.choice(WORDS) for _ in range(150)]
+    rows = []
+    for i in range(40):
+        own = " ".join(rng.choice(WORDS) for _ in range(60))
+        rows.append((i, f"https://{'a' if i % 3 else 'b'}.ex/p{i}", own + "\n" + ("".join(w + rng.choice([" ", "\n"]) for w in notice) if i % 3 else "") + own[::-1]))
+    rows += [(100, None, " ".join(notice)), (101, "https://a.ex/x", None), (102, "https://a.ex/p1", rows[1][2]), (103, "https://a.ex/y", "")]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "rec_id bigint, url string, text string, chunk int, site string")
+    got = {(r.rec_id, r.start, r.end) for r in repeated_lines.repeated_chunks(df).collect()}
+    pages, sites = defaultdict(set), defaultdict(set)
+    for i, url, text in rows:
+        if url and text:
+            sites[urlsplit(url).netloc].add(url)
+            for _, _, t, _ in whole_chunks(text):
+                pages[urlsplit(url).netloc, t].add(url)
+    want = set()
+    for i, url, text in rows:
+        site = urlsplit(url or "").netloc
+        if url and text:
+            want |= {(i, s, e) for s, e, t, _ in whole_chunks(text) if len(pages[site, t]) >= 5 and 5 * len(pages[site, t]) >= len(sites[site])}
+    assert got == want and {i for i, *_ in got} == {r[0] for r in rows[:40] if r[0] % 3} | {102}
+    assert repeated_lines.repeated_chunks(df.limit(0)).count() == 0
