@@ -8,13 +8,16 @@ digits and the host's own name masked.
 1. Each page's containers are scored by plain signs: phrases of menus, notices, share
    prompts and footers, separators between short items, what follows a sidebar's
    heading; sentences, headings and the lists under them for the body.
-2. Scored lines vote in Spark: for each host and path (hashed to 2**BITS, so a host's
-   table is bounded) how many pages have it as furniture and how many as body; and per
+2. Scored lines vote in Spark: for each host and path (a hash of KEY_BITS, so that hardly
+   any two share one) how many pages have it as furniture and how many as body; and per
    host the lines that a share of its pages repeat.  All hosts together, none as more
-   than HOST_CAP pages, are the prior for paths that a host has seldom or never.
+   than HOST_CAP pages, are the prior for paths that a host has seldom or never.  Paths
+   on fewer than PATH_SHARE of the texts, of a host or of all, do not vote there: the
+   page's more general paths do.  As shares add up to a page's paths, both tables are
+   bounded whatever the number of pages.
 3. Pages are extracted again with their host's winning paths: a container is furniture
    if its lines' votes, the host's repeated lines and its own signs add up to more than
-   the body's.  A sentence or heading is body by its own signs, until enough pages of
+   the body's; the votes can outweigh a phrase.  A sentence or heading is body by its own signs, until enough pages of
    its host repeat it: then its votes, which are those of its copies, don't count.
 
 A line that repeats the page's name in its url is its title and so body, as are lines
@@ -38,7 +41,9 @@ from quarrycrest.functions.urls import host, normalize_url, part
 from quarrycrest.llm.common import checkpoint, map_texts
 from quarrycrest.llm.residue import DUMMY, FIELD, MARKS as FIELD_MARKS, MESSAGE_WORDS, NOTICE, STATUS
 
-BITS = 18
+KEY_BITS = 42
+#: A path votes if it is on this share of the texts, and on PATH_TEXTS or more.
+PATH_SHARE, PATH_TEXTS = 1e-4, 2
 #: A host's line counts as repeated from this many pages and this share of its pages.
 HOST_PAGES, HOST_SHARE = 3, 0.02
 #: Sentences and headings need so many pages of their host, and are as likely furniture
@@ -136,10 +141,10 @@ class Shape:
         # a sentence's numbers are content: pages that differ in them don't repeat it
         line = " ".join(low.split()) if self.kind == "sentence" else masked
         self.key = xxhash.xxh64_intdigest(MARKS.sub("", line) or line)
-        joints = " ".join([w for w in words if w in JOINTS][:6])
+        joints = " ".join([w for w in words if w in JOINTS])
         ends = (words[0], words[-1]) if words else ("", "")
-        marks = NOT_MARKS.sub("", masked)[:6]
-        feats = [("f", ends[0]), ("l", ends[1]), ("j", joints, marks), ("t", masked[:80]), ("w", " ".join(words[:2])), ("k", self.kind, self.marker)]
+        marks = NOT_MARKS.sub("", masked)
+        feats = [("f", ends[0]), ("l", ends[1]), ("j", joints, marks), ("t", masked), ("w", " ".join(words[:2])), ("k", self.kind, self.marker)]
         # hardly any sentence comes again, so its features aren't remembered
         self.buckets = tuple((number if self.kind == "sentence" else bucket)(*f) for f in feats)
         self.sidebar = self.marker != "#" and SIDEBARS.match(text) is not None
@@ -173,7 +178,7 @@ def bucket(*feature: str) -> int:
 
 
 def number(*feature: str) -> int:
-    return xxhash.xxh32_intdigest("\x01".join(feature)) >> (32 - BITS)
+    return xxhash.xxh64_intdigest("\x01".join(feature)) >> (64 - KEY_BITS)
 
 
 def shape_of(raw: str, label: str) -> Shape:
@@ -261,14 +266,14 @@ class Host:
     """What a host's pages say: log odds of furniture by path, the prior's where the host
     has a path seldom, and the lines that its pages repeat.  prior is clipped."""
 
-    def __init__(self, prior: list[float], paths=(), furniture=(), body=(), repeated=()):
+    def __init__(self, prior: dict[int, float], paths=(), furniture=(), body=(), repeated=()):
         self.prior, self.repeated = prior, dict(repeated)
-        self.own = {p: host_vote(f, b, prior[p]) for p, f, b in zip(paths, furniture, body)}
+        self.own = {p: host_vote(f, b, prior.get(p, 0.0)) for p, f, b in zip(paths, furniture, body)}
         self.known: dict[Shape, float] = {}
 
     def vote(self, path: int) -> float:
         own = self.own.get(path)
-        return self.prior[path] if own is None else own
+        return self.prior.get(path, 0.0) if own is None else own
 
     def votes(self, x: Line) -> float:
         s = x.shape
@@ -293,7 +298,6 @@ def host_vote(furniture: float, body: float, prior: float) -> float:
 def judge(lines: list[Line], site: Host) -> list[bool]:
     """Whether each line is furniture, container by container."""
     sums: dict[int, float] = {}
-    counts: dict[int, int] = {}
     for x in lines:
         s = x.shape
         share = site.repeated.get(s.key)
@@ -304,8 +308,7 @@ def judge(lines: list[Line], site: Host) -> list[bool]:
         if share is not None and x.sign > -4:
             own += 2.0 if s.kind != "item" or x.zone != "in" else 0.5
         sums[x.run] = sums.get(x.run, 0.0) + own
-        counts[x.run] = counts.get(x.run, 0) + 1
-    return [x.sign >= 4 or x.sign > -8 and sums[x.run] / counts[x.run] ** 0.5 > 0 for x in lines]
+    return [x.sign > -8 and sums[x.run] > 0 for x in lines]
 
 
 def _rows(tables: dict[str, DataFrame]) -> DataFrame:
@@ -325,7 +328,7 @@ def _seen_rows(batch: pa.RecordBatch, texts: list):
     own = set()
     for text, site, path, page in zip(texts, sites, paths, pages):
         lines = read(text, site, path)
-        at = names.setdefault(site, len(names)) << (BITS + 1)
+        at = names.setdefault(site, len(names)) << (KEY_BITS + 1)  # a slice has fewer texts than the bits left
         votes += {at | b << 1 | label for x, label in zip(lines, first_labels(lines)) if label is not None for b in buckets_of(x)}
         own |= {(site, page, x.shape.key) for x in lines}
     cast, count = np.unique(np.array(votes, np.int64), return_counts=True)
@@ -334,43 +337,45 @@ def _seen_rows(batch: pa.RecordBatch, texts: list):
     sums[back, cast & 1] = count
     site, page, key = zip(*own) if own else ((), (), ())
     n, m = len(at), len(own)
-    keys = np.concatenate((at & (1 << BITS) - 1, np.array(key, np.uint64).view(np.int64)))
+    keys = np.concatenate((at & (1 << KEY_BITS) - 1, np.array(key, np.uint64).view(np.int64)))
     zeros, by_number = np.zeros(m, np.int64), list(names)
-    voted = [by_number[i] for i in (at >> BITS).tolist()]
+    voted = [by_number[i] for i in (at >> KEY_BITS).tolist()]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.arange(n + m) < n), pa.array(voted + list(site), pa.string()), pa.array([0] * n + list(page), pa.int64()), pa.array(keys), pa.array(np.concatenate((sums[:, FURNITURE], zeros))), pa.array(np.concatenate((sums[:, BODY], zeros)))],
         ["is_path", "site", "page", "key", "f", "b"],
     )
 
 
-ENTRIES = "paths array<int>, furniture array<int>, body array<int>, repeated array<bigint>, shares array<float>"
+ENTRIES = "paths array<bigint>, furniture array<int>, body array<int>, repeated array<bigint>, shares array<float>"
 
 
-def consensus(rows: DataFrame) -> tuple[np.ndarray, DataFrame]:
+def consensus(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
     """(prior, hosts) in one reading of the texts.
 
-    prior: log odds of furniture by path over all hosts; at most 2**BITS rows come to
-    the driver.
+    prior: paths and their log odds of furniture over all hosts.  As each is on PATH_SHARE
+    of the texts, at most 1 / PATH_SHARE times a page's paths come to the driver.
     hosts: (site, texts, paths, furniture, body, repeated, shares): the votes of the paths on
-    at least HOST_PAGES of its texts, 2**BITS at most, and the lines that a share of its
-    pages repeat.  As each is on HOST_SHARE of the pages, a host has at most
-    1 / HOST_SHARE times a page's lines."""
+    HOST_PAGES and PATH_SHARE of its texts, and the lines that HOST_SHARE of its pages
+    repeat; bounded in the same way."""
     seen = map_texts(rows, "is_path boolean, site string, page bigint, key bigint, f bigint, b bigint", "text", _seen_rows)
     once = seen.groupBy("is_path", "site", "page", "key").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
     counts = once.groupBy("is_path", "site", "key").agg(F.count("*").alias("n"), F.sum("f").alias("f"), F.sum("b").alias("b"))
     counts = checkpoint(counts.where(F.col("is_path") | (F.col("n") >= HOST_PAGES)))
     weight = F.least(F.lit(1.0), HOST_CAP / (F.col("f") + F.col("b")))
-    got = counts.where("is_path").groupBy("key").agg(F.sum(F.col("f") * weight).alias("f"), F.sum(F.col("b") * weight).alias("b")).toArrow()
-    prior = np.zeros(1 << BITS, np.float32)
+    sizes = checkpoint(rows.groupBy("site").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("texts")))
+    texts = sizes.agg(F.sum("texts")).first()[0] or 0
+    paths = counts.where("is_path").groupBy("key").agg(F.sum(F.col("f") * weight).alias("f"), F.sum(F.col("b") * weight).alias("b"), F.sum(F.col("f") + F.col("b")).alias("n"))
+    got = paths.where(F.col("n") >= max(PATH_TEXTS, PATH_SHARE * texts)).select("key", "f", "b").toArrow()
     f, b = (got.column(c).to_numpy().astype(float) for c in "fb")
     # as if everything had also been seen a little on both sides
-    prior[got.column("key").to_numpy()] = np.log((f + 0.5) / (b + 0.5)) * np.minimum(1.0, (f + b) / 4)
-    sizes = rows.groupBy("site").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("texts"))
+    odds = np.clip(np.log((f + 0.5) / (b + 0.5)) * np.minimum(1.0, (f + b) / 4), -CLIP, CLIP).astype(np.float32)
+    prior = (got.column("key").to_numpy(), odds)
     often = counts.where("not is_path").join(sizes, "site").where(F.col("n") >= F.col("pages") * HOST_SHARE)
     # too few pages say nothing of a sentence: its share is 0
     share = F.when(F.col("n") >= LONG_PAGES, F.col("n") / F.col("pages")).otherwise(0.0).cast("float")
     lines = often.groupBy("site").agg(F.collect_list(F.struct("key", share.alias("share"))).alias("r")).select("site", F.col("r.key").alias("repeated"), F.col("r.share").alias("shares"))
-    voted = counts.where(F.col("is_path") & (F.col("f") + F.col("b") >= HOST_PAGES)).select("site", F.struct(*(F.col(c).cast("int").alias(c) for c in ("key", "f", "b"))).alias("v"))
+    voted = counts.where(F.col("is_path") & (F.col("f") + F.col("b") >= HOST_PAGES)).join(sizes, "site").where(F.col("f") + F.col("b") >= F.col("texts") * PATH_SHARE)
+    voted = voted.select("site", F.struct("key", *(F.col(c).cast("int").alias(c) for c in ("f", "b"))).alias("v"))
     voted = voted.groupBy("site").agg(F.collect_list("v").alias("v")).select("site", F.col("v.key").alias("paths"), F.col("v.f").alias("furniture"), F.col("v.b").alias("body"))
     return prior, sizes.select("site", "texts").join(voted, "site", "left").join(lines, "site", "left")
 
@@ -381,7 +386,7 @@ def furniture(tables: dict[str, DataFrame]) -> DataFrame:
     rows = _rows(tables)
     prior, hosts = consensus(rows)
     context = rows.sparkSession.sparkContext
-    sent_prior = context.broadcast(np.clip(prior, -CLIP, CLIP))
+    sent_prior = context.broadcast(prior)
     hosts = checkpoint(hosts)
     names = [c.split()[0] for c in ENTRIES.split(", ")]
     length = lambda c: F.size(F.coalesce(c, F.array()))
@@ -399,7 +404,7 @@ def furniture(tables: dict[str, DataFrame]) -> DataFrame:
         joined = heads.unionByName(pages).repartition("site", "task").sortWithinPartitions("site", "task", "rank")
 
     known: dict[str, Host] = {}
-    shared: list[list[float]] = []
+    shared: list[dict[int, float]] = []
 
     def entries_of(values) -> Host:
         paths, f, b, repeated, shares = (x or () for x in values)
@@ -407,7 +412,7 @@ def furniture(tables: dict[str, DataFrame]) -> DataFrame:
 
     def run(batch: pa.RecordBatch, texts: list):
         if not shared:
-            shared.append(sent_prior.value.tolist())
+            shared.append(dict(zip(*(x.tolist() for x in sent_prior.value))))
         sites, paths = (batch.column(i).to_pylist() for i in (2, 3))
         head = batch.column(6).to_pylist() if sent.value is None else None
         numbers, kept, take = [], [], []
