@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quarrycrest.functions.urls import host, normalize_url, part
 from quarrycrest.llm.common import checkpoint, map_texts
-from quarrycrest.llm.residue import DUMMY, FIELD, MARKS as FIELD_MARKS, MESSAGE_WORDS, NOTICE, STATUS
+from quarrycrest.llm.residue import DUMMY, MESSAGE_WORDS, NOTICE, STATUS, has_field
 
 KEY_BITS = 42
 #: A path votes if it is on this share of the texts, and on PATH_TEXTS or more.
@@ -119,14 +119,15 @@ class Shape:
         low = text.lower()
         if label:
             low = low.replace(label, "\x00")
-        self.words = words = [DIGITS.sub("0", w) for w in WORD.findall(low)]
-        masked = DIGITS.sub("0", " ".join(low.split()))
-        parts = [p for p in SPLIT.split(text) if p]
+        masked = " ".join(DIGITS.sub("0", low).split())
+        self.words = words = WORD.findall(masked)
+        sentence = len(text) > 45 and text[-1] in ".!?" and text.count(" ") >= 5
+        parts = () if sentence else [p for p in SPLIT.split(text) if p]
         if self.marker == "#":
             self.kind = "heading"
         elif LINK_ROW.match(text):
             self.kind = "items"
-        elif len(text) > 45 and text[-1] in ".!?" and text.count(" ") >= 5:
+        elif sentence:
             self.kind = "sentence"
         elif len(parts) >= 2 and max(len(p.split()) for p in parts) <= 5 and not END.search(text):
             self.kind = "items"
@@ -144,11 +145,14 @@ class Shape:
         joints = " ".join([w for w in words if w in JOINTS])
         ends = (words[0], words[-1]) if words else ("", "")
         marks = NOT_MARKS.sub("", masked)
-        feats = [("f", ends[0]), ("l", ends[1]), ("j", joints, marks), ("t", masked), ("w", " ".join(words[:2])), ("k", self.kind, self.marker)]
+        feats = [("f", ends[0]), ("l", ends[1]), ("j", joints, marks), ("w", " ".join(words[:2])), ("k", self.kind, self.marker)]
+        if self.kind != "sentence":  # whose copies are counted as such, not as votes
+            feats.append(("t", masked))
         # hardly any sentence comes again, so its features aren't remembered
         self.buckets = tuple((number if self.kind == "sentence" else bucket)(*f) for f in feats)
         self.sidebar = self.marker != "#" and SIDEBARS.match(text) is not None
-        self.message = not MESSAGE_WORDS.isdisjoint(words) and any(p.search(text) for p in (STATUS, NOTICE, DUMMY)) or not FIELD_MARKS.isdisjoint(text) and FIELD.search(text) is not None
+        plain = text.lower()
+        self.message = not MESSAGE_WORDS.isdisjoint(words) and any(p.search(plain) for p in MESSAGES) or has_field(text)
         if PHRASES.match(text) or ADDRESS.match(text) or TRAIL.match(text) or notice(text):
             self.sign = 6.0
         elif self.sidebar:
@@ -168,7 +172,9 @@ class Line:
         self.number, self.shape, self.sign = number, shape, shape.sign
 
 
-DIGITS, MARKS, NOT_MARKS = re.compile(r"\d+"), re.compile(r"[\W_]+"), re.compile(r"[\w\s]")
+#: Without regard to case they are searched for faster in lower case.
+MESSAGES = [re.compile(p.pattern) for p in (STATUS, NOTICE, DUMMY)]
+DIGITS, MARKS, NOT_MARKS = re.compile(r"\d+"), re.compile(r"[\W_]+"), re.compile(r"[\w\s]+")
 _shapes: dict[tuple[str, str], Shape] = {}
 
 

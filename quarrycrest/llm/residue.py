@@ -108,11 +108,19 @@ TALK = re.compile(
 LONG_UNIT = 18
 
 
+MARK = re.compile(r"[{\[<#@_%$]")
+
+
+def has_field(text: str) -> bool:
+    """Whether FIELD is found in a text, looked for only where a mark begins one."""
+    return any(FIELD.match(text, m.start()) for m in MARK.finditer(text))
+
+
 def weak_label(unit: str) -> int:
     words = re.findall(r"[^\W_]+", unit.lower())
     if len(words) >= 4 and sum(w in LATIN for w in words) >= 0.7 * len(words):
         return FILLER
-    if not MARKS.isdisjoint(unit) and FIELD.search(unit):
+    if has_field(unit):
         return CONTENT if TALK.search(FIELD.sub(" ", unit)) else FILLER
     if MESSAGE_WORDS.isdisjoint(words):
         return CONTENT
