@@ -112,3 +112,16 @@ def test_languages(spark):
     for r in languages.segments(df.where("doc_id = 100"), model).collect():
         assert 0.5 < r.confidence <= 1 and cases[100][0][r.start_char : r.end_char] in (EN[0], DE[0])
     assert languages.cases(df.limit(0), names).count() == 0
+
+
+def test_copies_of_a_text_do_not_fill_the_sample(spark, monkeypatch):
+    """One text makes up most of the rows; languages with few texts are in the fit all the same."""
+    monkeypatch.setattr(languages, "SAMPLE_PER_LABEL", 20)
+    rows = [(i, " ".join(EN), "en") for i in range(3000)]
+    rows += [(5000 + i, f"{pool[i % 4]} {pool[(i + 1) % 4]}", label) for label, pool in (("de", DE), ("ja", JA)) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    names = spark.createDataFrame([("en", "English", "eng"), ("de", "German", "deu"), ("ja", "Japanese", "jpn")], "lang string, english_name string, iso3 string")
+    langs, model = languages.train(df, names)
+    assert langs == ["de", "en", "ja"] and all(row.max() > row.min() for row in model)
+    again = languages.train(df.repartition(3), names)[1]
+    assert (again == model).all()  # the sample does not depend on the order of rows
