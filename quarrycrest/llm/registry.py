@@ -68,7 +68,7 @@ def _trusted_courses(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str,
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Title and description do not depend on each other here: two stars of one bundle."""
+    """Branch and bound over the bundles title and description, which do not depend on each other here."""
     rows, real = _trusted_courses(spark, sf)
     best = survivors.consistent(rows, "course_code", {c: [c] for c in real}, real, [], "trust", "captured_at")
     return best.where("n_rows >= 2").select("course_code", *(F.coalesce(f"{c}_rec", F.lit(-1)).alias(f"{c}_rec") for c in real))

@@ -4,17 +4,19 @@ Fields that belong together form a bundle, which is taken whole from one record.
 bundle's real values the record with the highest trust wins, then the latest, then the
 smallest id.  Dependencies between bundles restrict this: values chosen for two
 dependent bundles must occur together in some record of the group.  Under them the sum
-of trust is maximised by branch and bound:
+of trust is maximised by branch and bound over all groups at once, one bundle a level:
 
-- bound, distributed: what a value can bring at most is its own trust and, for each
-  bundle that depends on it, the highest trust of the values that occur with it;
-- branch: the value with the greatest bound is taken, ties going by trust, time and id.
+- start: the best single record of a group is a solution, so its sum is the floor;
+- branch: each choice made so far goes on with every value of the next bundle that
+  occurs with the chosen values it depends on, and with leaving that bundle out;
+- bound: the sum so far and the highest trust of each bundle still to come; a branch
+  whose bound is below the floor ends;
+- dominance: of a group's choices that agree in the values on which later bundles
+  depend, only the best goes on, ties going by trust, time and id of the bundles in order.
 
-Where the dependencies are stars (one bundle on which others depend, which have no other
-dependency; bundles without any are stars of one) the bound is exact, so the first branch
-is the best one and every step is an aggregate: a group may be of any size.  Other
-dependencies need the search itself, depth first over the values whose bound is not
-below the best single record.  It sees a group's distinct values in one task.
+Every level is made of equi-joins and aggregates, so a group may be of any size.  What is
+kept of a group are the values that later bundles depend on: one choice without
+dependencies, one for each value of the first bundle if the others depend on it.
 
 Trust is 0 or more; null trust is below all.  Null group keys are left out.  Bundles none
 of whose records is real, and those that fit nowhere, get null ids.
@@ -22,7 +24,6 @@ of whose records is real, and those that fit nowhere, get null ids.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ COURSE = r"^[^A-Z0-9]*([A-Z]{2,5})[^A-Z0-9]*(\d{3,4})(?:([A-Z])(?![A-Z]))?"
 
 #: What a known trust is above an unknown one: too little to outweigh a difference of trust.
 KNOWN = 1e-9
+#: What rounding may take from a bound: a branch as good as the floor must not end.
+ROUNDING = 1e-12
 
 
 def course_code(code: Column) -> Column:
@@ -44,39 +47,6 @@ def course_code(code: Column) -> Column:
     return F.when(got(1) != "", F.concat(got(1), F.lit(" "), got(2), got(3)))
 
 
-def _search(bundles: list[str], pairs: list[tuple[int, int]], schema_key: str):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = [pdf[pdf.bundle == b].sort_values(["trust", "time", "rec"], ascending=[False, False, True]).to_dict("records") for b in bundles]
-        links = {(r.a, r.b, r.va, r.vb) for r in pdf[pdf.bundle == ""].itertuples()}
-        present = [i for i, v in enumerate(values) if v]
-        rest = [0.0] * (len(present) + 1)
-        for k in range(len(present) - 1, -1, -1):
-            rest[k] = rest[k + 1] + values[present[k]][0]["trust"]
-        best: list = [-1.0, None]  # no sum of trust is below 0
-
-        def branch(k: int, total: float, chosen: dict) -> None:
-            if total + rest[k] <= best[0]:
-                return
-            if k == len(present):
-                best[:] = [total, dict(chosen)]
-                return
-            i = present[k]
-            for v in values[i]:
-                if total + v["trust"] + rest[k + 1] <= best[0]:
-                    break  # values come best first
-                if all((a, b, chosen[a]["value"], v["value"]) in links for a, b in pairs if b == i and a in chosen):
-                    chosen[i] = v
-                    branch(k + 1, total + v["trust"], chosen)
-                    del chosen[i]
-            branch(k + 1, total, chosen)  # nothing fits: this bundle is left out
-
-        branch(0, 0.0, {})
-        got = best[1] or {}
-        return pd.DataFrame({schema_key: [key[0]], **{f"{b}_rec": [got[i]["rec"] if i in got else None] for i, b in enumerate(bundles)}}).astype({f"{b}_rec": "Int64" for b in bundles})
-
-    return run
-
-
 def _base(rows: DataFrame, group: str, bundles: dict[str, list[str]], real: dict[str, Column], trust: str, time: str, key: str) -> DataFrame:
     """(group, rec, trust, time, v0 ...): hashes of the real values; a few numbers a row."""
     text = lambda b: F.xxhash64(*(F.lower(bare(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in bundles[b]))
@@ -86,46 +56,54 @@ def _base(rows: DataFrame, group: str, bundles: dict[str, list[str]], real: dict
     )
 
 
-def stars(n: int, dependencies: list[tuple[int, int]]) -> dict[int, list[int]] | None:
-    """Each centre with the bundles that depend on it; None if a bundle depends on two,
-    or one that depends on another has its own."""
-    out: dict[int, list[int]] = {}
-    ends: set[int] = set()
-    for a, b in dependencies:
-        out.setdefault(a, []).append(b)
-        if b in ends:
-            return None
-        ends.add(b)
-    if ends & set(out):
-        return None
-    return {i: out.get(i, []) for i in range(n) if i not in ends}
-
+def _branched(base: DataFrame, states: DataFrame, group: str, k: int, linked: list[int]) -> DataFrame:
+    """Every choice with every value of bundle k that fits it, and without bundle k.
 
-def _best_of_stars(base: DataFrame, group: str, names: list[str], centres: dict[int, list[int]]) -> DataFrame:
+    A choice meets its values over the first bundle that it holds a value of and that k
+    depends on; the others are checked.  A choice that holds none is free."""
     order = F.struct("trust", "time", (-F.col("rec")).alias("m"))
-    alone = [i for i, c in centres.items() if not c]
-    tops = [F.max(F.when(F.col(f"v{i}").isNotNull(), order)).alias(f"t{i}") for i in range(len(names))]
-    out = base.groupBy(group).agg(F.count("*").alias("n_rows"), *tops)
-    recs = {i: -F.col(f"t{i}.m") for i in alone}
-    for a, ends in ((i, c) for i, c in centres.items() if c):
-        value = lambda i: base.where(F.col(f"v{i}").isNotNull()).groupBy(group, f"v{i}").agg(F.max(order).alias("o"))
-        bound = value(a).select(group, f"v{a}", F.col("o").alias("own"))
-        for e in ends:
-            together = base.where(F.col(f"v{a}").isNotNull() & F.col(f"v{e}").isNotNull()).select(group, f"v{a}", f"v{e}").distinct()
-            reach = together.join(value(e), [group, f"v{e}"]).groupBy(group, f"v{a}").agg(F.max("o").alias(f"e{e}"))
-            bound = bound.join(reach, [group, f"v{a}"], "left")
-        total = F.col("own.trust")
-        for e in ends:
-            total = total + F.coalesce(F.col(f"e{e}.trust"), F.lit(0.0))
-        best = F.max(F.struct(total.alias("total"), F.col("own.trust").alias("trust"), F.col("own.time").alias("time"), F.col("own.m").alias("m"), *(F.col(f"e{e}.m").alias(f"m{e}") for e in ends))).alias(f"s{a}")
-        out = out.join(bound.groupBy(group).agg(best), group, "left")
-        free = F.lit(0.0)  # without the centre its dependants are free
-        for e in ends:
-            free = free + F.coalesce(F.col(f"t{e}.trust"), F.lit(0.0))
-        kept = F.coalesce(F.col(f"s{a}.total") >= free, F.lit(False))
-        recs[a] = F.when(kept, -F.col(f"s{a}.m"))
-        recs |= {e: F.when(kept, -F.col(f"s{a}.m{e}")).otherwise(-F.col(f"t{e}.m")) for e in ends}
-    return out.select(group, "n_rows", *(recs[i].alias(f"{b}_rec") for i, b in enumerate(names)))
+    real = lambda i: F.col(f"v{i}").isNotNull()
+    together = lambda i: base.where(real(i) & real(k)).select(group, f"v{i}", f"v{k}").distinct()
+    found = base.where(real(k)).groupBy(group, f"v{k}").agg(F.max(order).alias(f"o{k}"))
+    out = states.withColumn(f"v{k}", F.lit(None).cast("bigint")).withColumn(f"o{k}", F.lit(None).cast(found.schema[f"o{k}"].dataType))
+    free = F.lit(True)
+    for at, j in enumerate(linked):
+        some = states.where(free & real(j)).join(together(j), [group, f"v{j}"]).join(found, [group, f"v{k}"])
+        for i in linked[at + 1 :]:
+            some = some.join(together(i).withColumn("fits", F.lit(True)), [group, f"v{i}", f"v{k}"], "left").where(~real(i) | F.col("fits")).drop("fits")
+        out = out.unionByName(some)
+        free = free & ~real(j)
+    return out.unionByName(states.where(free).join(found, group))
+
+
+def levels(base: DataFrame, group: str, n: int, pairs: list[tuple[int, int]]) -> list[tuple[DataFrame, DataFrame]]:
+    """For each of n bundles (branches that the bound leaves, choices that go on).
+
+    base is (group, rec, trust, time, v0 ...).  A row has the sum of trust (total), the
+    records chosen (o0 ...) and the values that later bundles depend on; n_rows, floor and
+    what later bundles may bring (rest0 ...) are the group's."""
+    real = lambda i: F.col(f"v{i}").isNotNull()
+    filled, rest = F.lit(0), [F.lit(0.0)]
+    for i in range(n):
+        filled = filled + real(i).cast("int")
+    for i in range(n - 1, 0, -1):
+        rest.append(rest[-1] + F.coalesce(F.max(F.when(real(i), F.col("trust"))), F.lit(0.0)))
+    known = ["n_rows", "floor", *(f"rest{i}" for i in range(n))]
+    states = base.groupBy(group).agg(F.count("*").alias("n_rows"), F.max(F.col("trust") * filled).alias("floor"), *(x.alias(f"rest{i}") for i, x in enumerate(reversed(rest))))
+    states = states.withColumn("total", F.lit(0.0))
+    out = []
+    for k in range(n):
+        chosen = [f"o{i}" for i in range(k + 1)]
+        needed = [f"v{i}" for i in range(k + 1) if any(a == i and b > k for a, b in pairs)]
+        branches = _branched(base, states, group, k, [a for a, b in pairs if b == k])
+        branches = branches.withColumn("total", F.col("total") + F.coalesce(F.col(f"o{k}.trust"), F.lit(0.0)))
+        branches = branches.where(F.col("total") + F.col(f"rest{k}") >= F.col("floor") * (1 - ROUNDING))
+        best = branches.groupBy(group, *needed).agg(F.max(F.struct("total", *chosen)).alias("best"), *(F.max(c).alias(c) for c in known))
+        states = best.select(group, *needed, *known, "best.*")
+        if k + 1 < n:
+            states = checkpoint(states)  # the next level reads it several times
+        out.append((branches, states))
+    return out
 
 
 def consistent(rows: DataFrame, group: str, bundles: dict[str, list[str]], real: dict[str, Column], dependencies: list[tuple[str, str]], trust: str, time: str, key: str = "rec_id") -> DataFrame:
@@ -135,55 +113,7 @@ def consistent(rows: DataFrame, group: str, bundles: dict[str, list[str]], real:
     which a record's bundle is real; both are in that record for a pair."""
     names = list(bundles)
     number = {b: i for i, b in enumerate(names)}
-    pairs = sorted((min(number[a], number[b]), max(number[a], number[b])) for a, b in dependencies)
+    pairs = sorted({(min(number[a], number[b]), max(number[a], number[b])) for a, b in dependencies})
     base = _base(rows, group, bundles, real, trust, time, key)
-    centres = stars(len(names), pairs)
-    if centres is not None:
-        return _best_of_stars(checkpoint(base) if pairs else base, group, names, centres)
-    base = checkpoint(base)
-    sizes = base.groupBy(group).agg(F.count("*").alias("n_rows"))
-    return sizes.join(_searched(base, group, names, pairs), group, "left").select(group, "n_rows", *(f"{b}_rec" for b in names))
-
-
-def _searched(base: DataFrame, group: str, names: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    order = F.struct("trust", "time", (-F.col("rec")).alias("m"))
-    parts = [base.where(F.col(f"v{i}").isNotNull()).groupBy(group, F.lit(b).alias("bundle"), F.col(f"v{i}").alias("value")).agg(F.max(order).alias("o")) for i, b in enumerate(names)]
-    values = parts[0]
-    for p in parts[1:]:
-        values = values.unionByName(p)
-    values = values.select(group, "bundle", "value", "o.trust", "o.time", (-F.col("o.m")).alias("rec"))
-    top = values.groupBy(group, "bundle").agg(F.max("trust").alias("top"))
-    best_sum = top.groupBy(group).agg(F.sum("top").alias("all"))
-    full = F.lit(True)
-    for i in range(len(names)):
-        full = full & F.col(f"v{i}").isNotNull()
-    first = base.groupBy(group).agg(F.max(F.when(full, F.col("trust"))).alias("t")).select(group, (F.col("t") * len(names)).alias("first"))
-    kept = values.join(top, [group, "bundle"]).join(best_sum, group).join(first, group, "left")
-    kept = kept.where(F.col("first").isNull() | (F.col("trust") + F.col("all") - F.col("top") >= F.col("first")))
-    # where the best values of all bundles occur together the bound is reached and nothing is searched
-    mine = lambda b, x: F.when(F.col("bundle") == b, x)
-    best = [F.max_by(mine(b, F.struct("value", "rec")), mine(b, F.struct("trust", "time", (-F.col("rec")).alias("m")))).alias(f"t{i}") for i, b in enumerate(names)]
-    tops = values.groupBy(group).agg(*best).select(group, *(F.col(f"t{i}.value").alias(f"v{i}") for i in range(len(names))), *(F.col(f"t{i}.rec").alias(f"{b}_rec") for i, b in enumerate(names)))
-    for a, b in pairs:
-        seen = base.select(group, f"v{a}", f"v{b}").distinct().withColumn("seen", F.lit(True))
-        tops = tops.join(seen, [group, f"v{a}", f"v{b}"], "left").withColumn(f"ok{a}_{b}", F.col(f"v{a}").isNull() | F.col(f"v{b}").isNull() | F.col("seen").isNotNull()).drop("seen")
-    fits = F.lit(True)
-    for a, b in pairs:
-        fits = fits & F.col(f"ok{a}_{b}")
-    tops = checkpoint(tops.select(group, fits.alias("fits"), *(f"{b}_rec" for b in names)))
-    kept = kept.join(tops.where("not fits").select(group), group, "left_semi")
-    none = [F.lit(None).cast("bigint").alias(c) for c in ("va", "vb")]
-    edges = [F.lit(None).cast("int").alias(c) for c in ("a", "b")]
-    sheet = kept.select(group, "bundle", "value", "trust", "time", "rec", *edges, *none)
-    for a, b in pairs:
-        together = base.where(F.col(f"v{a}").isNotNull() & F.col(f"v{b}").isNotNull()).select(group, F.col(f"v{a}").alias("va"), F.col(f"v{b}").alias("vb")).distinct()
-        live = kept.where(F.col("bundle") == names[a]).select(group, F.col("value").alias("va"))
-        live_b = kept.where(F.col("bundle") == names[b]).select(group, F.col("value").alias("vb"))
-        together = together.join(live, [group, "va"], "left_semi").join(live_b, [group, "vb"], "left_semi")
-        sheet = sheet.unionByName(
-            together.select(group, F.lit("").alias("bundle"), F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("double").alias("trust"), F.lit(None).cast("bigint").alias("time"), F.lit(None).cast("bigint").alias("rec"), F.lit(a).alias("a"), F.lit(b).alias("b"), "va", "vb")
-        )
-    kind = dict(base.dtypes)[group]
-    schema = ", ".join([f"`{group}` {kind}", *(f"{b}_rec bigint" for b in names)])
-    searched = sheet.groupBy(group).applyInPandas(_search(names, pairs, group), schema)
-    return tops.where("fits").select(*searched.columns).unionByName(searched)
+    best = levels(checkpoint(base), group, len(names), pairs)[-1][1]
+    return best.select(group, "n_rows", *((-F.col(f"o{i}.m")).alias(f"{b}_rec") for i, b in enumerate(names)))

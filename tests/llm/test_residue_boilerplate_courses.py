@@ -207,6 +207,23 @@ def test_consistent_survivors_equal_brute_force(spark, pairs):
     assert survivors.consistent(df.limit(0), "g", bundles, real, pairs, "trust", "at").count() == 0
 
 
+def test_bound_ends_branches_without_dependencies(spark):
+    """As p5_found asks: two bundles, none depending on the other.  The best single record
+    is the floor, what cannot reach it ends, and one choice a group goes on."""
+    rows = [("g", 1, 5.0, 7, 100, 200), ("g", 2, 9.0, 7, 101, None), ("g", 3, 2.0, 7, 102, 201), ("g", 4, 5.0, 8, 103, 202), ("g", 5, 5.0, 8, 100, 203), ("h", 6, 3.0, 7, None, 204), ("i", 7, 1.0, 7, None, None)]
+    base = spark.createDataFrame(rows, "g string, rec bigint, trust double, time bigint, v0 bigint, v1 bigint")
+    (first, one), (second, two) = survivors.levels(base, "g", 2, [])
+    seen = lambda d, k: {(r.g, -r[f"o{k}"].m if r[f"o{k}"] else None) for r in d.collect()}
+    assert {r.floor for r in one.where("g = 'g'").collect()} == {10.0}
+    # record 3's title brings 2 + 5, no title 5; both are below 10
+    assert seen(first, 0) == {("g", 2), ("g", 4), ("g", 5), ("h", None), ("i", None)}
+    assert seen(one, 0) == {("g", 2), ("h", None), ("i", None)}
+    # 9 is chosen: record 3's description makes 11, none 9
+    assert seen(second, 1) == {("g", 1), ("g", 3), ("g", 4), ("g", 5), ("h", 6), ("i", None)}
+    assert {(r.g, r.total, r.n_rows) for r in two.collect()} == {("g", 14.0, 5), ("h", 3.0, 1), ("i", 0.0, 1)}
+    assert seen(two, 1) == {("g", 4), ("h", 6), ("i", None)}
+
+
 def test_endings_are_fitted():
     at, away = np.array([10.0, 300.0, 600.0, 90.0]), np.array([2.0, 9000.0, 30.0, 900.0])
     closed, entire = truncation.endings_fitted(at, np.array([0.0, 280.0, 1.0, 30.0]), away)[1][[1, 3]]
