@@ -114,6 +114,37 @@ def test_languages(spark):
     assert languages.cases(df.limit(0), names).count() == 0
 
 
+def test_no_part_of_a_text_is_left_out(spark):
+    """Sentences that lack their mark, end behind a quote or are short, and all other lines."""
+    rows = [(1000 + 20 * k + i, " ".join(pool[(i + j) % 4] for j in range(3)), label) for k, (label, pool) in enumerate((("en", EN), ("de", DE), ("ja", JA))) for i in range(20)]
+    cases = {1: (DE[0][:-1], "en", {"de"}), 2: (f"{EN[0]}\n{DE[2][:-1]}\n{EN[1]}", "en", {"en", "de"}), 3: (f'You should ask: "{EN[1]}" {DE[0]}', "de", {"en", "de"}), 4: (EN[0] + "\n静かです。", "en", {"en", "ja"}),
+             5: ("Die Räume sind sehr ruhig", " ", {"de"}), 6: ("Bibliothek", None, set()), 7: ("1234 567 89 10.\n55 66 77.", None, set()), 8: (EN[0] + "\nBibliothek\n" + EN[1], "en", set()), 9: (JA[0][:-1], "en", {"ja"}), 10: (EN[0][:-1] + "?)**", "de", {"en"})}
+    df = spark.createDataFrame(rows + [(i, t, lang) for i, (t, lang, _) in cases.items()], "doc_id bigint, text string, lang string")
+    names = spark.createDataFrame([("en", "English", "eng"), ("de", "German", "deu"), ("ja", "Japanese", "jpn")], "lang string, english_name string, iso3 string")
+    got = {}
+    for r in languages.cases(df, names).where("doc_id < 100").collect():
+        got.setdefault(r.doc_id, set()).add(r.lang)
+    assert {i: got.get(i, set()) for i in cases} == {i: want for i, (_, _, want) in cases.items()}
+    found = languages.segments(df.where("doc_id < 100"), languages.train(df, names))
+    left = {i: list(t) for i, (t, _, _) in cases.items()}
+    for r in found.collect():
+        assert r.whole or cases[r.doc_id][0][r.start_char : r.end_char] == "Bibliothek"
+        left[r.doc_id][r.start_char : r.end_char] = " " * (r.end_char - r.start_char)
+    assert not any(c.isalpha() for t in left.values() for c in t)
+    told = {r.doc_id: (r.lang, r.sentences, r.chars, r.share) for r in languages.document_languages(found).where("doc_id in (6, 8)").collect()}
+    assert told == {6: ("de", 0, 10, 1.0), 8: ("en", 2, len(EN[0] + EN[1]), 1.0)}
+    assert languages.document_languages(found).where("doc_id = 7").count() == 0
+
+
+def test_a_sentence_goes_on_after_its_quote():
+    from quarrycrest.llm.textbatch import TextBatch
+
+    text = 'She said "Guten Morgen!" and left (quietly?). Kya yeh sach hai\u061f Haan\u0964 Yes.'
+    starts, ends, _, _ = languages.sentences(TextBatch([None, text, "12"]))
+    base = 1
+    assert [text[s - base : e - base] for s, e in zip(starts, ends)] == ['She said "Guten Morgen!" and left (quietly?).', "Kya yeh sach hai\u061f", "Haan\u0964", "Yes."]
+
+
 def test_copies_of_a_text_do_not_fill_the_sample(spark, monkeypatch):
     """One text makes up most of the rows; languages with few texts are in the fit all the same."""
     monkeypatch.setattr(languages, "SAMPLE_PER_LABEL", 20)
